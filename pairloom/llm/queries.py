@@ -6,21 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, neardup, quality, resharding
+from . import decontaminate, fixity, mixing, neardup, quality, resharding, rules, suffixtree, templates, urls
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages")
+    return fixity.audit(pages, fixity.decayed(pages))
+
+
 def op2_cube_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(_t(spark, sf_dir, "documents"))
 
 
+def op3_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.decisions(_t(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.drop_recurring(_t(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_t(spark, sf_dir, "documents"))
 
@@ -29,12 +42,32 @@ def op7_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(_t(spark, sf_dir, "documents"))
 
 
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(_t(spark, sf_dir, "documents"))
+
+
+def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ledger(_t(spark, sf_dir, "documents"))
+
+
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.ablation(rules.ledger(_t(spark, sf_dir, "documents")))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_cube_sampling, op4_decontamination, op6_simhash_near_dups, op7_flow_resharding, op10_quality_classifier)
+    for f in (
+        op1_merkle_fixity, op2_cube_sampling, op3_redirect_equivalence, op4_decontamination, op5_template_lines,
+        op6_simhash_near_dups, op7_flow_resharding, op8_suffix_tree_scores, op9_rule_ledger, op10_quality_classifier, rule_ablation,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_merkle_fixity": fixity.oracle(),
+    "op3_redirect_equivalence": urls.oracle(),
+    "op9_rule_ledger": rules.ledger_oracle(),
+    "rule_ablation": rules.ablation_oracle(),
 }
-ORACLES: dict[str, str] = {}
