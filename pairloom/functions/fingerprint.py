@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .normalize import WORDS
+from .normalize import WORDS, let
 
 BITS = 64
 
@@ -27,17 +27,24 @@ def schema_signature(columns: Column) -> Column:
 
 
 def windows(items: Column, n: int, sep: str) -> Column:
-    """Every run of n neighbours, joined; none where there are fewer."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), sep))
+    """Every run of n neighbours, joined; none where there are fewer. ``items`` should be
+    bound (a column or a lambda's variable): it is named 2n times."""
+    out = items
+    for k in range(1, n):
+        shifted = F.when(F.size(items) > k, F.slice(items, k + 1, F.size(items))).otherwise(F.array().cast("array<string>"))
+        out = F.zip_with(out, shifted, lambda x, y: F.concat(x, F.lit(sep), y))
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def shingles(lines: Column, n: int = 3) -> Column:
     """Word n-grams across lines (all words as one where there are fewer) and, from n
     lines on, line n-grams; a multiset."""
-    words = F.filter(F.split(F.array_join(lines, "\n"), WORDS, -1), lambda x: x != "")
-    few = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.when(F.size(words) >= n, windows(words, n, " ")).otherwise(few), windows(lines, n, "\n"))
+    def both(x: Column) -> Column:
+        found = F.filter(F.split(F.array_join(x, "\n"), WORDS, -1), lambda w: w != "")
+        few = lambda w: F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        return F.concat(let(found, lambda w: F.when(F.size(w) >= n, windows(w, n, " ")).otherwise(few(w))), windows(x, n, "\n"))
+
+    return let(lines, both)
 
 
 def md5_32(s: Column) -> Column:
@@ -45,21 +52,19 @@ def md5_32(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
 
 
-def simhash(df: DataFrame, key: str, grams: Column, name: str = "simhash", hash_of=F.xxhash64, bits: int = BITS) -> DataFrame:
-    """``df`` with the SimHash of an array of strings; ``key`` must be unique.
+def simhash(df: DataFrame, keys: list[str], grams: Column, name: str = "simhash", hash_of=F.xxhash64, bits: int = BITS) -> DataFrame:
+    """(keys, name): the SimHash of an array of strings for each distinct ``keys``.
 
-    Votes are summed per bit as integers in one aggregation that combines map-side; an
-    empty array gives 0.
+    Votes are summed per bit as whole numbers in one aggregation that combines map-side,
+    so a row of sums is all that moves; an empty or null array gives 0.
     """
-    votes = df.select(key, F.explode(grams).alias("_g")).select(key, hash_of(F.col("_g")).alias("_h"))
-    sums = votes.groupBy(key).agg(
-        *[F.sum(F.lit(2) * F.shiftright("_h", i).bitwiseAND(F.lit(1)) - 1).alias(f"_b{i}") for i in range(bits)]
-    )
+    votes = df.select(*keys, F.explode_outer(grams).alias("_g")).select(*keys, hash_of(F.col("_g")).alias("_h"), F.col("_g").isNotNull().alias("_any"))
+    vote = [F.sum(F.when(F.col("_any"), F.lit(2) * F.shiftright("_h", i).bitwiseAND(F.lit(1)) - 1)).alias(f"_b{i}") for i in range(bits)]
     value = F.lit(0).cast("long")
     for i in range(bits):
         bit = (1 << i) - (1 << 64 if i == 63 else 0)
         value = value.bitwiseOR(F.when(F.col(f"_b{i}") > 0, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return df.join(sums.select(key, value.alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return votes.groupBy(*keys).agg(*vote).select(*keys, value.alias(name))
 
 
 def hamming(a: Column, b: Column) -> Column:

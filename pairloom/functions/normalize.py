@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ..config import Normalization
@@ -10,11 +12,17 @@ IGNORED = "<IGNORED>"
 WORDS = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once however often ``body`` names it: functions
+    within lambdas aren't shared by the compiler."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends: a line feed, or carriage return and line feed. A final
     end begins no further line; a bare carriage return ends none."""
-    lines = F.split(F.regexp_replace(text, "\r\n", "\n"), "\n", -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    return let(lines, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def normalize_lines(lines: Column, opts: Normalization = Normalization()) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 SW_LIMIT, LCS_LIMIT = 2000, 5000
 
@@ -299,7 +299,15 @@ def _memo(f):
     return run
 
 
-jaro_winkler_udf = F.pandas_udf(_memo(jaro_winkler), "double")
-damerau_udf = F.pandas_udf(_memo(lambda a, b: float(damerau_levenshtein(a, b))), "double")
-lcs_length_udf = F.pandas_udf(_memo(lambda a, b: float(lcs_length(a, b))), "double")
-smith_waterman_udf = F.pandas_udf(_memo(smith_waterman), "double")
+def _double(f):
+    """Column function of ``f``; the UDF is made when called, as workers import this module too."""
+    def of(a: Column, b: Column) -> Column:
+        return F.pandas_udf(_memo(f), "double")(a, b)
+
+    return of
+
+
+jaro_winkler_udf = _double(jaro_winkler)
+damerau_udf = _double(lambda a, b: float(damerau_levenshtein(a, b)))
+lcs_length_udf = _double(lambda a, b: float(lcs_length(a, b)))
+smith_waterman_udf = _double(smith_waterman)
