@@ -168,6 +168,7 @@ def sample(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``sample`` draws."""
-    drawn = sample(docs, p).where("selected").select(F.col("doc_id").alias("_drawn"))
+    """The rows of ``docs``, all columns, that ``sample`` draws. The drawn ids grow with the
+    documents, so they are merged with them at every size and never broadcast."""
+    drawn = sample(docs, p).where("selected").select(F.col("doc_id").alias("_drawn")).hint("merge")
     return docs.join(drawn, docs["doc_id"].cast("long") == drawn["_drawn"], "left_semi")

@@ -230,6 +230,7 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of ``docs``, all columns, without those that ``groups`` lists: one
-    document of each group stays."""
-    gone = groups(docs, p).select(F.col("doc_id").alias("_gone"))
+    document of each group stays. The listed ids grow with the documents, so they are
+    merged with them at every size and never broadcast."""
+    gone = groups(docs, p).select(F.col("doc_id").alias("_gone")).hint("merge")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
