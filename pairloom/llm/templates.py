@@ -6,10 +6,14 @@ lines join the template that they agree with in at least ``similarity`` of the t
 where they differ the template gets a wildcard. Templates that recur in ``min_docs``
 documents or more are dropped from all.
 
-The tree is a hash of the path, so leaves are spread over the cluster; equal lines fold
-into one, a leaf of one distinct line needs no work, and the others, a small part, are
-solved leaf by leaf in the order of their hashes, whatever the partitioning. The decisions
-that return to the documents are line numbers.
+The tree is a hash of the path, so leaves are spread over the cluster. A first scan counts,
+for each leaf, the documents that reach it; no template recurs where fewer than
+``min_docs`` do, so most leaves, and all their lines, are done with. The busy leaves set
+bits of a Bloom filter of bounded size, by which a second scan emits the tokens of their
+lines alone (what it lets through by chance is joined away). Equal lines fold into one, a
+busy leaf of one distinct line needs no work, and the others are solved leaf by leaf in the
+order of their hashes, whatever the partitioning. The decisions that return to the
+documents are line numbers.
 """
 
 from __future__ import annotations
@@ -31,9 +35,13 @@ WILD = np.uint32(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class Params:
+    """``max_bloom_bits`` bounds what is sent to executors; beyond about a tenth as many
+    busy leaves the filter lets more through, and the join has more to do."""
+
     lead: int = 3
     similarity: float = 0.6
     min_docs: int = 5
+    max_bloom_bits: int = 1 << 27
 
 
 def lines(data: np.ndarray, offsets: np.ndarray, p: Params):
@@ -105,21 +113,78 @@ def cluster(rows: list[np.ndarray], p: Params) -> np.ndarray:
     return out
 
 
-def _occurrences(docs: DataFrame, p: Params) -> DataFrame:
-    """(key, doc, line_no, leaf, line, tokens) of every line with a token; key tells rows apart by
-    doc_id and text."""
+def _leaves(docs: DataFrame, p: Params) -> DataFrame:
+    """(leaf, contested) of the leaves that rows of ``min_docs`` or more reach: contested
+    ones have several distinct lines. Counted are rows, at least as many as documents."""
+
+    def run(it):
+        for b in it:
+            data, offsets = textops.buffers(b.column(0), lower=False)
+            for i, j in textops.chunks(data, offsets):
+                row, _, leaf, whole, *_ = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p)
+                if not len(row):
+                    continue
+                o = np.lexsort((row, leaf))
+                row, leaf, whole = row[o], leaf[o], whole[o].view(np.int64)
+                first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+                new = np.r_[True, (leaf[1:] != leaf[:-1]) | (row[1:] != row[:-1])]
+                yield pa.record_batch(
+                    [pa.array(leaf[first].view(np.int64)), pa.array(np.add.reduceat(new.astype(np.int64), first)), pa.array(np.minimum.reduceat(whole, first)), pa.array(np.maximum.reduceat(whole, first))],
+                    ["leaf", "n", "lo", "hi"],
+                )
+
+    seen = docs.where("text is not null").select("text").mapInArrow(run, "leaf long, n long, lo long, hi long")
+    g = seen.groupBy("leaf").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return g.where(F.col("n") >= p.min_docs).select("leaf", (F.col("lo") != F.col("hi")).alias("contested"))
+
+
+def _bits(leaf: np.ndarray, m: int) -> np.ndarray:
+    """[4, n] bits of a filter of m that each leaf sets."""
+    return np.stack([textops.mix(leaf + np.uint64(k * 0x9E3779B9 + 1)) & np.uint64(m - 1) for k in range(4)]).astype(np.int64)
+
+
+def bloom(leaves: DataFrame, p: Params = Params()) -> np.ndarray:
+    """Words of a Bloom filter of the leaves, made by the tasks and folded word by word."""
+    n = leaves.count()
+    m = min(p.max_bloom_bits, max(1 << 13, 1 << (12 * n).bit_length()))
+
+    def run(it):
+        words = np.zeros(m // 64, np.uint64)
+        for b in it:
+            x = _bits(b.column(0).to_numpy().view(np.uint64), m).ravel()
+            np.bitwise_or.at(words, x >> 6, np.uint64(1) << (x & 63).astype(np.uint64))
+        i = np.flatnonzero(words)
+        yield pa.record_batch([pa.array(i), pa.array(words[i].view(np.int64))], ["i", "w"])
+
+    t = leaves.select("leaf").mapInArrow(run, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()  # m / 64 rows at most
+    out = np.zeros(m // 64, np.uint64)
+    out[t["i"].to_numpy()] = t["w"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    x = _bits(leaf, 64 * len(words))
+    return ((words[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1)).all(0)
+
+
+def _occurrences(docs: DataFrame, words: np.ndarray, p: Params) -> DataFrame:
+    """(key, doc, line_no, leaf, line, tokens) of every line whose leaf the filter may hold;
+    key tells rows apart by doc_id and text."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(it):
         for b in it:
             data, offsets = textops.buffers(b.column(2), lower=False)
             for i, j in textops.chunks(data, offsets):
                 row, line, leaf, whole, first, past, h = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p)
-                at = pa.array(i + row)
-                small = np.minimum((h >> np.uint64(32)).astype(np.uint32), WILD - np.uint32(1))
-                cut = np.concatenate([first, past[-1:]]) * 4 if len(first) else np.zeros(1, np.int64)
-                toks = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(small.astype("<u4").tobytes())])
+                x = np.flatnonzero(may_hold(known.value, leaf))
+                if not len(x):
+                    continue
+                at = pa.array(i + row[x])
+                small = np.minimum((h >> np.uint64(32)).astype(np.uint32), WILD - np.uint32(1)).astype("<u4")
+                toks = [small[f:e].tobytes() for f, e in zip(first[x], past[x])]
                 yield pa.record_batch(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(line), pa.array(leaf.view(np.int64)), pa.array(whole.view(np.int64)), toks],
+                    [b.column(0).take(at), b.column(1).take(at), pa.array(line[x]), pa.array(leaf[x].view(np.int64)), pa.array(whole[x].view(np.int64)), pa.array(toks, pa.binary())],
                     ["key", "doc", "line_no", "leaf", "line", "tokens"],
                 )
 
@@ -166,17 +231,18 @@ def _clusters(contested: DataFrame, p: Params) -> DataFrame:
 def recurring(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(key, line_no, template, n_docs) of every line whose template recurs in
     ``min_docs`` documents or more."""
-    occ = materialize(_occurrences(docs, p), "lines")
-    leaves = occ.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf")
-    distinct = occ.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    busy = materialize(_leaves(docs, p), "leaves")
+    found = _occurrences(docs, bloom(busy, p), p)
+    occ = materialize(found.join(busy.hint("merge"), "leaf"), "lines")
+    distinct = occ.where("contested").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     named = materialize(_clusters(distinct, p), "templates")
     told = occ.select("key", "doc", "line_no", "line").join(named, "line", "left").select(
         "key", "doc", "line_no", F.coalesce("template", "line").alias("template")
     )
     often = told.groupBy("template", "doc").agg(F.lit(1).alias("x")).groupBy("template").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= p.min_docs)
     out = materialize(told.join(often, "template").select("key", "line_no", "template", "n_docs").distinct(), "recurring")
-    discard(occ)
-    discard(named)
+    for t in (busy, occ, named):
+        discard(t)
     return out
 
 
@@ -188,7 +254,7 @@ def drop_recurring(docs: DataFrame, p: Params = Params()) -> DataFrame:
     null with 0 lines. Rows of one doc_id are one document when documents are counted;
     rows without a doc_id are one for each text. Repeated rows are each cleaned.
     """
-    gone = recurring(docs, p).groupBy("key").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    gone = recurring(docs, p).groupBy("key").agg(F.array_sort(F.collect_list("line_no")).alias("gone")).hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _key().alias("key"))
     j = rows.join(gone, "key", "left").withColumn("dropped", F.coalesce("gone", F.expr("cast(array() as array<bigint>)")))
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(dropped, cast(i as bigint))), '\\n')")
