@@ -101,9 +101,17 @@ def close(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray, p: Par
     """Index pairs (i, j) with fa[i] within the distance of fb[j]: pivot coordinates
     first, all bits of the survivors after."""
     k = np.uint8(p.max_distance)
-    alive = np.ones((len(fa), len(fb)), bool)
-    for c in range(ta.shape[1]):
-        alive &= (ta[:, c, None] - tb[None, :, c] + k) <= 2 * k  # |difference| <= k in wrapping bytes
+    a, b = np.ascontiguousarray(ta.T) + k, np.ascontiguousarray(tb.T)
+    alive, ok, gap = np.ones((len(fa), len(fb)), bool), np.empty((len(fa), len(fb)), bool), np.empty((len(fa), len(fb)), np.uint8)
+    for x, y in zip(a, b):
+        np.subtract(x[:, None], y[None, :], out=gap)  # |difference| <= k in wrapping bytes
+        np.less_equal(gap, 2 * k, out=ok)
+        np.logical_and(alive, ok, out=alive)
+    if np.count_nonzero(alive) > alive.size // 16:  # many survivors: all bits of whole rows are cheaper than of single pairs
+        gap[:] = 0
+        for w in range(WORDS):
+            gap += np.bitwise_count(fa[:, w, None] ^ fb[None, :, w])
+        return np.nonzero(alive & (gap <= k))
     i, j = np.nonzero(alive)
     d = np.zeros(len(i), np.uint8)
     for w in range(WORDS):
@@ -128,8 +136,12 @@ def group_bucket(fp: np.ndarray, table: np.ndarray, p: Params, small: int = 768,
             frontier, rest = rest[hit], rest[~hit]
             label[frontier] = root
     if len(rest) > 1:
-        i, j = close(fp[rest], table[rest], fp[rest], table[rest], p)
-        i, j = rest[i[i < j]], rest[j[i < j]]
+        found = []
+        for s in range(0, len(rest), block):  # each pair once
+            f, g = rest[s : s + block], rest[s:]
+            i, j = close(fp[f], table[f], fp[g], table[g], p)
+            found.append((f[i[i < j]], g[j[i < j]]))
+        i, j = (np.concatenate(x) for x in zip(*found))
         while True:
             a, b = label[i], label[j]
             lo, hi = np.minimum(a, b), np.maximum(a, b)
