@@ -59,11 +59,15 @@ class RecordDiff:
     columns as text do, so that the result hangs on the rows alone. Cells are compared as
     text, or as numbers within ``cfg.numeric_tolerance``; null equals the empty string.
     Empty tables are equal. Columns named ``_k*``, ``_key`` or ``_rn`` may occur.
+
+    Sets the session's ``spark.sql.requireAllClusterKeysForCoPartition`` to false, so that
+    the join on (key, ordinal) keeps the spread by key that the ordinals were numbered in.
     """
 
     def __init__(self, left: DataFrame, right: DataFrame, cfg: Config = Config(), order: list[str] | None = None):
         self.cfg, self.schemas = cfg, schemas(left, right, cfg)
         self._left, self._right, self._order = left, right, order
+        left.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
     def _side(self, df: DataFrame, side: str) -> DataFrame:
         s = self.schemas
