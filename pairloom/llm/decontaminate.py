@@ -214,8 +214,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     those of the document that are aligned.
 
     Null texts, texts and items without words match nothing; an item shorter than n
-    words seeds with all of it. Repeated documents are each reported; rows of one
-    item_id with different texts are items of their own, and the best one is reported.
+    words seeds with all of it. Equal documents are each reported, rows of one doc_id
+    once, with the best; rows of one item_id with different texts are items of their own, and the best one is reported.
     """
     out = None
     for seeds in _blocks(docs, benchmark, p):
