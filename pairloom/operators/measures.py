@@ -1,9 +1,9 @@
 """Similarity of pairs of texts by bags and positions, in Catalyst expressions.
 
-A table of pairs has key columns and two arrays. Measures over bags share one plan: the
-pairs are spread by their key once, tokens fold to (key, token, count left, count right)
-within that spread, and a second fold gives whole-number sums from which each score is one
-closed formula. Measures that hang on order beyond position are in functions.sequence.
+A table of pairs has key columns and two texts. Measures over sets of tokens are a map of
+each pair. Measures over bags share one plan: the pairs are spread by their key once, tokens
+fold to (key, token, count left, count right) within that spread, and a second fold gives
+whole-number sums from which each score is one closed formula. Measures that hang on order beyond position are in functions.sequence.
 """
 
 from __future__ import annotations
@@ -83,21 +83,21 @@ TOKENS = {
     "ngram": byte_windows,
     "sorensen-dice": lambda t: char_pairs(squeezed(t)),
 }
+SETS = ("jaccard", "ngram")
 
 
 def bag_sums(pairs: DataFrame, keys: list[str], a: str, b: str, tokens) -> DataFrame:
-    """keys, same (texts equal), n1, n2 (bytes), and over the bags of tokens: d1, d2 distinct
-    tokens, both shared distinct, t1, t2 tokens, least the shared multiset, dot, sq1, sq2
-    squares, shared1, shared2 squares of shared tokens."""
+    """keys, q1, q2 (characters without white space), same_q (these are equal), and over the bags
+    of tokens: t1, t2 tokens, least the shared multiset, dot, sq1, sq2 squares, shared1,
+    shared2 squares of shared tokens."""
     spread = pairs.repartition(*keys).select(
-        *keys, (F.col(a) == F.col(b)).alias("same"), F.octet_length(a).alias("n1"), F.octet_length(b).alias("n2"),
-        F.length(squeezed(F.col(a))).alias("q1"), F.length(squeezed(F.col(b))).alias("q2"), (squeezed(F.col(a)) == squeezed(F.col(b))).alias("same_q"),
+        *keys, F.length(squeezed(F.col(a))).alias("q1"), F.length(squeezed(F.col(b))).alias("q2"), (squeezed(F.col(a)) == squeezed(F.col(b))).alias("same_q"),
         F.concat(
             F.transform(tokens(F.col(a)), lambda t: F.struct(t.alias("t"), F.lit(1).alias("l"), F.lit(0).alias("r"))),
             F.transform(tokens(F.col(b)), lambda t: F.struct(t.alias("t"), F.lit(0).alias("l"), F.lit(1).alias("r"))),
         ).alias("x"),
     )
-    fixed = ["same", "n1", "n2", "q1", "q2", "same_q"]
+    fixed = ["q1", "q2", "same_q"]
     flat = spread.select(*keys, *fixed, F.explode_outer("x").alias("x"))
     c = flat.groupBy(*keys, *fixed, F.col("x.t").alias("t")).agg(F.coalesce(F.sum("x.l"), F.lit(0)).alias("l"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("r"))
     l, r = F.col("l"), F.col("r")
@@ -107,7 +107,6 @@ def bag_sums(pairs: DataFrame, keys: list[str], a: str, b: str, tokens) -> DataF
         return F.sum(x)
 
     return c.groupBy(*keys, *fixed).agg(
-        F.count_if(l > 0).alias("d1"), F.count_if(r > 0).alias("d2"), F.count_if(shared).alias("both"),
         total(l).alias("t1"), total(r).alias("t2"), total(F.least(l, r)).alias("least"),
         total(l * r).alias("dot"), total(l * l).alias("sq1"), total(r * r).alias("sq2"),
         total(F.when(shared, l * l).otherwise(0)).alias("shared1"), total(F.when(shared, r * r).otherwise(0)).alias("shared2"),
@@ -121,13 +120,6 @@ def _cosine(dot: Column, x: Column, y: Column) -> Column:
 def bag_score(measure: str) -> Column:
     """The score of ``measure`` from the sums of its bags."""
     c = F.col
-    if measure in ("jaccard", "ngram"):
-        union = c("d1") + c("d2") - c("both")
-        jac = F.when(union > 0, c("both") / F.when(union > 0, union)).otherwise(1.0)
-        if measure == "jaccard":
-            return jac
-        short = (c("n1") < 3) & (c("n2") < 3)
-        return F.when(short, 1.0).when((c("n1") == 0) | (c("n2") == 0), 0.0).otherwise(jac)
     if measure == "cosine":
         return _cosine(c("dot").cast("double"), c("sq1").cast("double"), c("sq2").cast("double"))
     if measure == "tfidf":
@@ -140,6 +132,22 @@ def bag_score(measure: str) -> Column:
     raise ValueError(f"{measure} isn't a measure over bags")
 
 
+def set_score(measure: str, a: Column, b: Column) -> Column:
+    """Shared over all distinct tokens of two texts, by hashing within the row."""
+    sets = [F.array_distinct(TOKENS[measure](x)) for x in (a, b)]
+
+    def score(x: Column) -> Column:
+        both = F.size(F.array_intersect(x["l"], x["r"]))
+        union = F.size(x["l"]) + F.size(x["r"]) - both
+        return F.when(union > 0, both / F.when(union > 0, union)).otherwise(1.0)
+
+    jac = let(F.struct(sets[0].alias("l"), sets[1].alias("r")), score)
+    if measure == "jaccard":
+        return jac
+    n, m = F.octet_length(a), F.octet_length(b)
+    return F.when((n < 3) & (m < 3), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(jac)
+
+
 def bag_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, measure: str, name: str = "score") -> DataFrame:
     """keys and the score of each pair of texts; keys must be unique, null texts are empty.
 
@@ -148,4 +156,6 @@ def bag_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, measure: s
     score 1, an empty one against another 0.
     """
     clean = pairs.select(*keys, F.coalesce(a, F.lit("")).alias(a), F.coalesce(b, F.lit("")).alias(b))
+    if measure in SETS:
+        return clean.select(*keys, set_score(measure, F.col(a), F.col(b)).alias(name))
     return bag_sums(clean, keys, a, b, TOKENS[measure]).select(*keys, bag_score(measure).alias(name))
