@@ -239,6 +239,29 @@ def damerau_levenshtein(a: str, b: str) -> int:
     return d[-1][-1]
 
 
+def _byte_windows(raw: bytes) -> np.ndarray:
+    """Distinct runs of three bytes that begin and end between characters."""
+    x = np.frombuffer(raw, np.uint8)
+    if len(x) < 3:
+        return np.zeros(0, np.uint32)
+    edge = np.append((x & 0xC0) != 0x80, True)
+    y = x.astype(np.uint32)
+    return np.unique(((y[:-2] << 16) | (y[1:-1] << 8) | y[2:])[edge[:-3] & edge[3:]])
+
+
+def ngram_similarity(a: str, b: str) -> float:
+    """Shared over all distinct byte windows of three that are valid UTF-8."""
+    x, y = a.encode(), b.encode()
+    if len(x) < 3 and len(y) < 3:
+        return 1.0
+    if not x or not y:
+        return 0.0
+    p, q = _byte_windows(x), _byte_windows(y)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    union = len(p) + len(q) - both
+    return both / union if union else 1.0
+
+
 def normalized(distance: int, n: int, m: int) -> float:
     return 1 - distance / max(n, m) if n or m else 1.0
 
@@ -311,3 +334,4 @@ jaro_winkler_udf = _double(jaro_winkler)
 damerau_udf = _double(lambda a, b: float(damerau_levenshtein(a, b)))
 lcs_length_udf = _double(lambda a, b: float(lcs_length(a, b)))
 smith_waterman_udf = _double(smith_waterman)
+ngram_udf = _double(ngram_similarity)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fingerprint import windows
 from ..functions.normalize import let, words
-from ..functions.sequence import damerau_udf, jaro_winkler_udf, lcs_length_udf, smith_waterman_udf
+from ..functions.sequence import damerau_udf, jaro_winkler_udf, lcs_length_udf, ngram_udf, smith_waterman_udf
 
 ALONE = 1 + math.log(2)  # idf of a token that one of two texts has; a shared one's is 1
 
@@ -63,14 +63,6 @@ def char_pairs(text: Column) -> Column:
     return let(characters(text), lambda c: windows(c, 2, ""))
 
 
-def byte_windows(text: Column) -> Column:
-    """All runs of three bytes that are valid UTF-8: one, two or three characters of three bytes in all."""
-    def of(c: Column) -> Column:
-        return F.filter(F.concat(c, windows(c, 2, ""), windows(c, 3, "")), lambda g: F.octet_length(g) == 3)
-
-    return let(characters(text), of)
-
-
 def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
@@ -80,10 +72,9 @@ TOKENS = {
     "jaccard": words,
     "cosine": words,
     "tfidf": words,
-    "ngram": byte_windows,
     "sorensen-dice": lambda t: char_pairs(squeezed(t)),
 }
-SETS = ("jaccard", "ngram")
+SETS = ("jaccard", "ngram")  # by windows of bytes, with numpy
 
 
 def bag_sums(pairs: DataFrame, keys: list[str], a: str, b: str, tokens) -> DataFrame:
@@ -134,6 +125,8 @@ def bag_score(measure: str) -> Column:
 
 def set_score(measure: str, a: Column, b: Column) -> Column:
     """Shared over all distinct tokens of two texts, by hashing within the row."""
+    if measure == "ngram":
+        return ngram_udf(a, b)
     sets = [F.array_distinct(TOKENS[measure](x)) for x in (a, b)]
 
     def score(x: Column) -> Column:
@@ -141,11 +134,7 @@ def set_score(measure: str, a: Column, b: Column) -> Column:
         union = F.size(x["l"]) + F.size(x["r"]) - both
         return F.when(union > 0, both / F.when(union > 0, union)).otherwise(1.0)
 
-    jac = let(F.struct(sets[0].alias("l"), sets[1].alias("r")), score)
-    if measure == "jaccard":
-        return jac
-    n, m = F.octet_length(a), F.octet_length(b)
-    return F.when((n < 3) & (m < 3), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(jac)
+    return let(F.struct(sets[0].alias("l"), sets[1].alias("r")), score)
 
 
 def bag_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, measure: str, name: str = "score") -> DataFrame:

@@ -25,7 +25,7 @@ from ..sources.detect import is_structured
 from ..tables import discard, materialize
 from .results import conform, summarize
 
-BAGS = tuple(measures.TOKENS)
+BAGS = (*measures.TOKENS, "ngram")
 _SIDE = ("path", "size", "file_type", "content_hash", "line_count", "columns", "error")
 
 
