@@ -146,5 +146,5 @@ def bag_similarity(pairs: DataFrame, keys: list[str], a: str, b: str, measure: s
     """
     clean = pairs.select(*keys, F.coalesce(a, F.lit("")).alias(a), F.coalesce(b, F.lit("")).alias(b))
     if measure in SETS:
-        return clean.select(*keys, set_score(measure, F.col(a), F.col(b)).alias(name))
+        return clean.repartition(*keys).select(*keys, set_score(measure, F.col(a), F.col(b)).alias(name))
     return bag_sums(clean, keys, a, b, TOKENS[measure]).select(*keys, bag_score(measure).alias(name))

@@ -323,6 +323,8 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files, with 32-bit fingerprints of a hash that DuckDB has too."""
     _t(spark, d, "documents").createOrReplaceTempView("documents")
     f = spark.sql(FILES.format(half="doc_id div 2"))
+    if f.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a scan of few splits
+        f = f.repartition("doc_id")
     f = f.withColumn("k", detect(F.encode("text", "UTF-8"), F.col("extension")))
     f = f.select(
         "path", "rel_path", "name", F.col("size").cast("long").alias("size"), F.col("k.file_type").alias("file_type"), "extension",
