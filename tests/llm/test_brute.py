@@ -317,6 +317,51 @@ def test_scores_prefer_the_usual(documents, rng):
     assert got[0].n_words == 27 and got[0].bits_per_word == pytest.approx(-got[0].log2_prob / 27, abs=1e-5)
 
 
+def brute_tree(texts, p):
+    """log2 probability of each text under the tree with contexts of any length, by dictionaries."""
+    n, nexts = Counter(), defaultdict(dict)
+    for w in texts:
+        n.update(w[i : i + k] for k in range(1, 12) for i in range(len(w) - k + 1))
+    total, distinct = sum(map(len, texts)), {x for x in n if len(x) == 1}
+    n = {x: c for x, c in n.items() if c >= p.least}
+    for x in n:
+        nexts[x[:-1]][x[-1]] = n[x]
+    known = sum(nexts[()].values())
+    unknown = max(total - known, p.discount) / total / (len(distinct) - len(nexts[()]) + 1)
+    states, back = {()}, {}
+
+    def prob(ctx, w):
+        while ctx not in states:
+            ctx = ctx[1:]
+        if not ctx:
+            return n[(w,)] / total if (w,) in n else unknown
+        return max(nexts[ctx].get(w, 0) - p.discount, 0) / n[ctx] + back[ctx] * prob(ctx[1:], w)
+
+    for ctx in sorted((x for x in nexts if x), key=len):
+        if len(ctx) > 1 + max(map(len, states)):
+            break
+        suffix = next(ctx[i:] for i in range(1, len(ctx) + 1) if ctx[i:] in states)
+        low = {w: nexts[suffix][w] / (n[suffix] if suffix else total) for w in nexts[ctx]}
+        rest = n[ctx] - sum(nexts[ctx].values())
+        gain = sum(c * math.log(c / n[ctx] / low[w]) for w, c in nexts[ctx].items())
+        if gain + (rest * math.log(rest / n[ctx] / (1 - sum(low.values()))) if rest else 0) >= p.min_gain:
+            states.add(ctx)
+            back[ctx] = 1 - sum(c - p.discount for c in nexts[ctx].values()) / n[ctx]
+    return [sum(math.log2(prob(w[:i], w[i])) for i in range(len(w))) for w in texts], states
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 5])
+def test_rare_words_keep_their_own_probability(documents, hot):
+    """p_min would ask for 1,600 occurrences of each word."""
+    rng = random.Random(2)
+    texts = [tuple(rng.choice(WORDS[:40] if i % 2 else WORDS[40:60]) for _ in range(200)) for i in range(80)]
+    texts += [("seldom", "seen", f"once{i}") for i in range(9)]
+    p = suffixtree.Params(p_min=0.1, hot=hot)
+    want, _ = brute_tree(texts, p)
+    got = {r.doc_id: r.log2_prob for r in suffixtree.score(documents([(i, " ".join(w)) for i, w in enumerate(texts)]), p).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-4)
+
+
 # ---- 9
 
 def test_ablation_by_hand(documents, rng):
