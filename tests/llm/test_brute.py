@@ -362,6 +362,20 @@ def test_rare_words_keep_their_own_probability(documents, hot):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-4)
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 5])
+def test_contexts_of_any_length(documents, hot):
+    """What follows hangs on a word two, three or four back, and on it only."""
+    rng = random.Random(6)
+    turns = ["akey then and now yes", "bkey then and now no", "red or light east", "blue or light west", "one of up", "two of down"]
+    turns = [rng.choice(turns).split() + [rng.choice(WORDS[:5])] for _ in range(2400)]
+    texts = [tuple(x for turn in turns[i : i + 30] for x in turn) for i in range(0, 2400, 30)]
+    p = suffixtree.Params(hot=hot, min_gain=4.0)
+    want, states = brute_tree(texts, p)
+    assert ("akey", "then", "and", "now") in states and ("then", "and", "now") not in states
+    got = {r.doc_id: r.log2_prob for r in suffixtree.score(documents([(i, " ".join(w)) for i, w in enumerate(texts)]), p).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-4)
+
+
 # ---- 9
 
 def test_ablation_by_hand(documents, rng):
