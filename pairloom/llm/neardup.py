@@ -44,7 +44,7 @@ class Params:
     def tables(self, n: int) -> tuple[int, int]:
         """(sampled bits of a table, tables) for ``n`` fingerprints."""
         bits = min(BITS // 2, max(self.min_bits, math.ceil(math.log2(max(2, n) / self.occupancy))))
-        hit = (1 - self.max_distance / BITS) ** bits
+        hit = math.comb(BITS - self.max_distance, bits) / math.comb(BITS, bits)  # drawn without replacement
         return bits, math.ceil(math.log(1 - self.recall) / math.log(1 - hit))
 
 

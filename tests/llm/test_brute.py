@@ -376,6 +376,16 @@ def test_contexts_of_any_length(documents, hot):
     assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-4)
 
 
+# ---- 6, recall at any size
+
+@pytest.mark.parametrize("n", [10**5, 10**7, 10**8])
+def test_tables_reach_the_recall(n):
+    p = neardup.Params()
+    bits, tables = p.tables(n)
+    hit = math.comb(neardup.BITS - p.max_distance, bits) / math.comb(neardup.BITS, bits)
+    assert 1 - (1 - hit) ** tables >= p.recall
+
+
 # ---- 9
 
 def test_ablation_by_hand(documents, rng):
