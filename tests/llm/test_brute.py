@@ -284,37 +284,11 @@ def test_resharding_keeps_rows_and_capacities(spark, documents, rng, tmp_path):
 
 # ---- 8
 
-def test_tree_counts_and_probabilities(documents, rng):
-    def sentence():
-        return [x for _ in range(30) for x in (["alpha", "beta", rng.choice(["gamma", "delta"])] if rng.random() < 0.5 else [rng.choice(WORDS[:12])])]
-
-    rows = [(i, " ".join(sentence())) for i in range(80)]
-    p = suffixtree.Params(p_min=1e-4, least=3)
-    tree, _ = suffixtree.fit(documents(rows), p)
-    words = [t.split() for _, t in rows]
-    one, two, three = Counter(), Counter(), Counter()
-    for w in words:
-        one.update(w), two.update(zip(w, w[1:])), three.update(zip(w, w[1:], w[2:]))
-    total = sum(one.values())
-    least = max(p.least, math.ceil(p.p_min * total))
-    assert tree.total == total and sorted(tree.count1) == sorted(n for n in one.values() if n >= least)
-    assert sorted(tree.count2) == sorted(n for n in two.values() if n >= least)
-    known = {x for x, n in two.items() if n >= least}
-    assert sorted(tree.count3) == sorted(n for x, n in three.items() if n >= least and x[:2] in known and x[1:] in known)
-    every = np.arange(len(tree.words))
-    for a in every:  # distributions over known words and the unknown sum to one at most
-        q = tree.pair_probability(np.full(len(every), a), every)
-        assert (q >= 0).all() and q.sum() <= 1 + 1e-9
-    number = {w: int(suffixtree.find(tree.words, textops.words_of(w))[0]) for w in one}
-    lp = tree.log2(np.array([number["alpha"], number["beta"], number["gamma"]]), np.zeros(3, np.int64))
-    assert 2 ** lp[1] > 0.9 and 0.35 < 2 ** lp[2] < 0.65
-
-
 def test_scores_prefer_the_usual(documents, rng):
     rows = [(i, "the cat sat on the mat and " + prose(rng, 20)) for i in range(300)] + [(999, prose(rng, 26)), (1000, "the cat sat on the mat and the cat sat on the mat")]
-    got = {r.doc_id: r for r in suffixtree.score(documents(rows), suffixtree.Params(p_min=1e-4)).collect()}
+    got = {r.doc_id: r for r in suffixtree.score(documents(rows), suffixtree.Params()).collect()}
     assert got[1000].bits_per_word < got[0].bits_per_word < got[999].bits_per_word
-    assert got[0].n_words == 27 and got[0].bits_per_word == pytest.approx(-got[0].log2_prob / 27, abs=1e-5)
+    assert got[0].n_words == 27 and got[0].bits_per_word == pytest.approx(-got[0].log2_prob / 27, abs=1e-3)
 
 
 def brute_tree(texts, p):
@@ -344,36 +318,37 @@ def brute_tree(texts, p):
         low = {w: nexts[suffix][w] / (n[suffix] if suffix else total) for w in nexts[ctx]}
         rest = n[ctx] - sum(nexts[ctx].values())
         gain = sum(c * math.log(c / n[ctx] / low[w]) for w, c in nexts[ctx].items())
-        if gain + (rest * math.log(rest / n[ctx] / (1 - sum(low.values()))) if rest else 0) >= p.min_gain:
+        if gain + (rest * math.log(rest / n[ctx] / (1 - sum(low.values()))) if rest else 0) >= p.min_gain + p.cost * len(nexts[ctx]):
             states.add(ctx)
             back[ctx] = 1 - sum(c - p.discount for c in nexts[ctx].values()) / n[ctx]
     return [sum(math.log2(prob(w[:i], w[i])) for i in range(len(w))) for w in texts], states
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 5])
-def test_rare_words_keep_their_own_probability(documents, hot):
-    """p_min would ask for 1,600 occurrences of each word."""
+@pytest.mark.parametrize("hot,bucket", [(1 << 20, 1 << 21), (5, 700)])
+def test_rare_words_keep_their_own_probability(documents, hot, bucket):
     rng = random.Random(2)
     texts = [tuple(rng.choice(WORDS[:40] if i % 2 else WORDS[40:60]) for _ in range(200)) for i in range(80)]
     texts += [("seldom", "seen", f"once{i}") for i in range(9)]
-    p = suffixtree.Params(p_min=0.1, hot=hot)
+    p = suffixtree.Params(hot=hot, bucket=bucket)
     want, _ = brute_tree(texts, p)
     got = {r.doc_id: r.log2_prob for r in suffixtree.score(documents([(i, " ".join(w)) for i, w in enumerate(texts)]), p).collect()}
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-4)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=0.011)
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 5])
-def test_contexts_of_any_length(documents, hot):
-    """What follows hangs on a word two, three or four back, and on it only."""
+@pytest.mark.parametrize("hot,bucket,least", [(1 << 20, 1 << 21, 2), (5, 900, 2), (5, 900, 8)])
+def test_contexts_of_any_length(documents, hot, bucket, least):
+    """What follows hangs on a word two, three or four back, and on it only; some texts occur twice."""
     rng = random.Random(6)
     turns = ["akey then and now yes", "bkey then and now no", "red or light east", "blue or light west", "one of up", "two of down"]
     turns = [rng.choice(turns).split() + [rng.choice(WORDS[:5])] for _ in range(2400)]
     texts = [tuple(x for turn in turns[i : i + 30] for x in turn) for i in range(0, 2400, 30)]
-    p = suffixtree.Params(hot=hot, min_gain=4.0)
+    texts += 2 * [tuple(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(25)) for _ in range(3)]
+    p = suffixtree.Params(hot=hot, bucket=bucket, least=least, min_gain=4.0, cost=2.0)
     want, states = brute_tree(texts, p)
     assert ("akey", "then", "and", "now") in states and ("then", "and", "now") not in states
     got = {r.doc_id: r.log2_prob for r in suffixtree.score(documents([(i, " ".join(w)) for i, w in enumerate(texts)]), p).collect()}
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=2e-4)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=0.011)
+    assert least > 2 or max(got[i] / 25 for i in range(80, 86)) > -8
 
 
 # ---- 6, recall at any size
