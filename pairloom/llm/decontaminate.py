@@ -8,6 +8,10 @@ this measure, and always at least its rarer half, are its seeds. The second scan
 up every n-gram of every document among the seeds and aligns the item with the passage
 around each group of hits. Items are handled in blocks of ``block_items``: what is
 sent to executors is bounded, and a larger benchmark takes more scans, not more memory.
+
+A match needs evidence: the share of the item that is aligned, times what its words say by
+their frequency in the corpus, must reach ``min_nats``. A short item of common words ("yes")
+can't, however often it occurs; three rare words can.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ class Params:
     mismatch: int = -1
     gap: int = -1
     threshold: float = 0.5
+    min_nats: float = 25.0
     block_items: int = 20_000
 
 
@@ -75,9 +80,13 @@ class Seeds:
     def __init__(self, ids: list[int], words: list[np.ndarray], counts: dict[int, int], total: int, p: Params):
         self.ids, self.words = np.array(ids, np.int64), words
         rows: dict[int, list] = {}
+        self.nats = np.zeros(len(words))
         for k, w in enumerate(words):
             n = min(p.n, len(w))
             f = np.log([max(1, counts.get(int(x), 0)) / max(1, total) for x in w])
+            self.nats[k] = -f.sum()
+            if self.nats[k] < p.min_nats:
+                continue
             chance = np.array([f[i : i + n].sum() for i in range(len(w) - n + 1)])
             tok = textops.Tokens(w, np.zeros(len(w), np.int64), *[np.zeros(len(w), np.int64)] * 3)
             h, at = textops.grams(tok, n)
@@ -204,7 +213,7 @@ def _scan(texts: pa.Array, seeds: Seeds, p: Params):
     for i, j in textops.chunks(data, offsets):
         tok = textops.tokenize(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         for d, it, v, f, g in _align(tok, seeds, j - i, p):
-            if v >= p.threshold:
+            if v >= p.threshold and v * seeds.nats[it] >= p.min_nats:
                 yield i + d, int(seeds.ids[it]), round(v, 6), f, g
 
 
@@ -214,7 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
     those of the document that are aligned.
 
     Null texts, texts and items without words match nothing; an item shorter than n
-    words seeds with all of it. Equal documents are each reported, rows of one doc_id
+    words seeds with all of it; one with less than ``min_nats`` to say matches nothing. Equal documents are each reported, rows of one doc_id
     once, with the best; rows of one item_id with different texts are items of their own, and the best one is reported.
     """
     out = None
@@ -239,7 +248,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, in which ``contaminated`` finds nothing; no shuffle."""
+    """The rows of ``docs``, all columns, in which ``contaminated`` finds nothing; no shuffle.
+    Rows stay or go by their text alone: nulls, empty texts and rows without an id that match
+    nothing stay, repeated rows fare alike. An empty benchmark drops nothing."""
     at = docs.columns.index("text")
     out = docs
     for seeds in _blocks(docs, benchmark, p):

@@ -6,7 +6,7 @@ a time along the null space of two constraints, the totals of documents and of t
 until at most two units of a block keep a fraction. Blocks lie within a source; what they
 leave flies again, by source, then over all sources, until two units at most are left:
 the landing problem, solved by giving up the token constraint and then the other.
-Only (doc_id, source, tokens) is ever shuffled.
+Of the documents only ids, sources and token counts are shuffled while units are drawn.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .plumbing import discard, materialize
+from .plumbing import discard, fresh, materialize
 
 
 @dataclass(frozen=True)
@@ -121,28 +121,26 @@ def _fly(df: DataFrame, keys: list[str], p: Params, land: bool, salt: int) -> Da
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-def sample(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, source, n_rows, n_tokens, pi, selected) for each doc_id of ``docs``.
+def unit(source: str = "source"):
+    """The hash of the unit that a row belongs to: its doc_id, or else its source and text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("no id"), F.col(source).cast("string"), "text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
 
-    Tokens are runs of characters other than white space; a null text has none. Rows of
-    one doc_id are one unit, with their tokens added and the least of their sources;
-    rows without a doc_id are left out. A null source is a source. The draw is fixed by
-    ``seed`` and the rows, whatever the partitioning. An empty table gives no rows.
-    """
+
+def _units(docs: DataFrame, p: Params) -> DataFrame:
+    """(h, doc_id, has_id, source, n_rows, n_tokens, pi, p) of every unit; p is 0 or 1, kept in the shared folder."""
     spark = docs.sparkSession
     units = materialize(
-        docs.where("doc_id is not null").select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit("\\S+")), F.lit(0)).cast("long").alias("n"),
-        ).groupBy("doc_id").agg(F.min("source").alias("source"), F.count("*").alias("n_rows"), F.sum("n").alias("n_tokens"))
-        .withColumn("h", F.xxhash64("doc_id")), "units",
+        docs.select(
+            unit().alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"),
+            F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit("\\S+")), F.lit(0)).cast("long").alias("n"),
+        ).groupBy("h", "doc_id", "has_id").agg(F.min("source").alias("source"), F.count("*").alias("n_rows"), F.sum("n").alias("n_tokens")), "units",
     )
     totals = units.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
     pi = inclusion({r.source: r.t for r in totals}, p)
     share = spark.createDataFrame(
         [(r.source, float(min(1.0, pi[r.source])), -(-r.n // p.block)) for r in totals], "s string, pi double, blocks long"
     )
-    cols = ["doc_id", "source", "n_rows", "n_tokens", "h", "pi", "p"]
+    cols = ["h", "doc_id", "has_id", "source", "n_rows", "n_tokens", "pi", "p"]
     first = units.join(share, units["source"].eqNullSafe(share["s"])).select(
         *cols[:-1], F.col("pi").alias("p"), F.expr("pmod(h, blocks)").alias("block")
     )
@@ -163,12 +161,32 @@ def sample(docs: DataFrame, p: Params = Params()) -> DataFrame:
     out = parts[0].where("p = 0 or p = 1")
     for t in parts[1:]:
         out = out.unionAll(t.where("p = 0 or p = 1"))
-    discard(units)
-    return out.select("doc_id", "source", "n_rows", "n_tokens", "pi", (F.col("p") == 1).alias("selected"))
+    out = materialize(out.select(*cols), "drawn")
+    for t in (units, *parts):
+        discard(t)
+    return out
+
+
+def sample(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, source, n_rows, n_tokens, pi, selected) for each unit of ``docs``.
+
+    Tokens are runs of characters other than white space; a null text has none. Rows of
+    one doc_id are one unit, with their tokens added and the least of their sources; so are
+    rows without a doc_id that have one source and text. A null source is a source. The draw
+    is fixed by ``seed`` and the rows, whatever the partitioning; ties among units go by hash.
+    Other columns play no part. An empty table gives no rows.
+    """
+    out = _units(docs, p)
+    return out.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "source", "n_rows", "n_tokens", "pi", (F.col("p") == 1).alias("selected"))
 
 
 def mix(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``sample`` draws. The drawn ids grow with the
-    documents, so they are merged with them at every size and never broadcast."""
-    drawn = sample(docs, p).where("selected").select(F.col("doc_id").alias("_drawn")).hint("merge")
-    return docs.join(drawn, docs["doc_id"].cast("long") == drawn["_drawn"], "left_semi")
+    """The rows of ``docs``, all columns, of the units that ``sample`` draws: rows of one
+    doc_id stay or go together, as do rows without an id of one source and text; null and
+    empty texts are units without tokens. At a budget of 1 every row whose source has a weight
+    stays. An empty table gives no rows. The drawn ids grow with the documents, so they are
+    merged with them at every size and never broadcast."""
+    mark, drawn = fresh(docs, "unit", "drawn")
+    chosen = _units(docs, p).where("p = 1").select(F.col("h").alias(drawn)).hint("merge")
+    marked = docs.withColumn(mark, unit())
+    return marked.join(chosen, marked[mark] == chosen[drawn], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,31 +2,36 @@
 
 A fingerprint has 128 bits: each bit is the majority, over the distinct words of the
 text, of one bit of the word's hash. Texts are near-duplicates when their fingerprints
-differ in at most ``max_distance`` bits; groups are the connected components.
+differ in at most ``max_distance`` bits; groups are the connected components. No such
+pair is missed, at any number of documents:
 
 1. Texts of equal fingerprint fold into one row, so that thousands of copies cost one.
-2. Every fingerprint has its Hamming distances to ``pivots`` reference fingerprints.
-3. Fingerprints meet in tables keyed by sampled bits. The bits per table follow the
-   number of fingerprints, so that chance company stays at ``occupancy``; the number of
-   tables follows from the wanted recall at exactly ``max_distance`` (nearer pairs are
-   found more surely). No bucket is capped.
-4. Within a bucket, pairs whose pivot distances differ by more than ``max_distance``
-   anywhere are discarded (triangle inequality, no loss); the rest are verified on all
-   bits. A bucket yields spanning edges of its groups, not all pairs; in large buckets
-   groups grow breadth first, so members of one group aren't compared with each other.
+2. Fingerprints that close differ in at most max_distance // parts bits of one part of the
+   bits, t say; of t + k bands of that part k at least are equal. They meet in a bucket of
+   the table of those k bands: there is one for every choice. ``plan`` takes the least k
+   that keeps chance company in a bucket under ``occupancy``, so that the number of
+   tables follows the number of fingerprints, and the answer doesn't. No bucket is capped.
+3. Within a bucket every fingerprint has its Hamming distances to ``pivots`` reference
+   fingerprints; pairs whose distances differ by more than ``max_distance`` anywhere are
+   discarded (triangle inequality, no loss), and the rest are verified on all bits. A
+   bucket yields spanning edges of its groups, not all pairs; in large buckets groups grow
+   breadth first, so members of one group aren't compared with each other.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textops
-from .plumbing import connected_components, discard, materialize
+from .packing import bucket_of, pack, starts, unpack
+from .plumbing import connected_components, discard, fresh, materialize
 
 WORDS = 2  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
@@ -35,17 +40,26 @@ BITS = 64 * WORDS
 @dataclass(frozen=True)
 class Params:
     max_distance: int = 20
-    pivots: int = 64
-    occupancy: int = 512
-    min_bits: int = 8
-    recall: float = 0.92
+    pivots: int = 16
+    occupancy: int = 1024
+    parts: int = 3
     seed: int = 20240229
+    bucket: int = 1 << 18  # rows of an exchange's bucket, a task's share
 
-    def tables(self, n: int) -> tuple[int, int]:
-        """(sampled bits of a table, tables) for ``n`` fingerprints."""
-        bits = min(BITS // 2, max(self.min_bits, math.ceil(math.log2(max(2, n) / self.occupancy))))
-        hit = math.comb(BITS - self.max_distance, bits) / math.comb(BITS, bits)  # drawn without replacement
-        return bits, math.ceil(math.log(1 - self.recall) / math.log(1 - hit))
+    def plan(self, n: int) -> int:
+        """Equal bands that make a bucket, for ``n`` fingerprints."""
+        t, width = self.max_distance // self.parts, BITS // self.parts
+        return next((k for k in range(1, width - t) if n * 2.0 ** -(width * k / (t + k)) <= self.occupancy), width - t)
+
+    def tables(self, n: int) -> list[np.ndarray]:
+        """The bits whose equality makes a bucket, for each table."""
+        t, k = self.max_distance // self.parts, self.plan(n)
+        order = np.random.default_rng(self.seed + 1).permutation(BITS)
+        return [
+            np.sort(np.concatenate(chosen))
+            for part in np.array_split(order, self.parts)
+            for chosen in combinations(np.array_split(part, t + k), k)
+        ]
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
@@ -124,17 +138,27 @@ def group_bucket(fp: np.ndarray, table: np.ndarray, p: Params, small: int = 768,
     """Least index of the group of each row, groups by closeness within the bucket."""
     m = len(fp)
     label = np.arange(m)
-    rest = np.arange(m)
-    while len(rest) > small:  # breadth first from the first row that is left
-        frontier, rest, root = rest[:1], rest[1:], rest[0]
-        while len(frontier) and len(rest):
-            hit = np.zeros(len(rest), bool)
-            for s in range(0, len(frontier), block):
-                f, todo = frontier[s : s + block], np.flatnonzero(~hit)
-                _, j = close(fp[f], table[f], fp[rest[todo]], table[rest[todo]], p)
-                hit[todo[j]] = True
-            frontier, rest = rest[hit], rest[~hit]
-            label[frontier] = root
+    rest, gone = np.arange(m), np.zeros(m, bool)
+    while len(rest) > small:  # a block of roots at a time; those without company are done with
+        roots = rest[:block]
+        i, j = close(fp[roots], table[roots], fp[rest], table[rest], p)
+        i, j = i[i != j], j[i != j]
+        for k, root in enumerate(roots):
+            if gone[root]:
+                continue
+            gone[root] = True
+            frontier = rest[j[i == k]]
+            frontier = frontier[~gone[frontier]]
+            while len(frontier):  # breadth first
+                gone[frontier], label[frontier] = True, root
+                left = rest[~gone[rest]]
+                hit = np.zeros(len(left), bool)
+                for s in range(0, len(frontier), block):
+                    f, todo = frontier[s : s + block], np.flatnonzero(~hit)
+                    _, x = close(fp[f], table[f], fp[left[todo]], table[left[todo]], p)
+                    hit[todo[x]] = True
+                frontier = left[hit]
+        rest = rest[~gone[rest]]
     if len(rest) > 1:
         found = []
         for s in range(0, len(rest), block):  # each pair once
@@ -154,95 +178,127 @@ def group_bucket(fp: np.ndarray, table: np.ndarray, p: Params, small: int = 768,
 
 
 def _fingerprint_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, f0, f1) of the rows whose text isn't null or blank."""
+
     def run(it):
         for b in it:
             f = fingerprints(b.column(1)).view(np.int64)
-            keep = (f != 0).any(1)
-            cols = [b.column(0).filter(pa.array(keep))] + [pa.array(f[keep, w]) for w in range(WORDS)]
-            yield pa.record_batch(cols, ["doc_id", "f0", "f1"])
+            keep = pa.array((f != 0).any(1))
+            yield pa.record_batch([b.column(0), *[pa.array(f[:, w]) for w in range(WORDS)]], ["doc_id", "f0", "f1"]).filter(keep)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc_id long, f0 long, f1 long")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").mapInArrow(
-        run, "doc_id long, f0 long, f1 long"
-    )
+def node(f0, f1):
+    """The hash by which components know a fingerprint."""
+    return F.xxhash64(f0, f1)
 
 
 def edges(reps: DataFrame, n: int, p: Params = Params()) -> DataFrame:
-    """(a, b): spanning edges between the ``rep`` of close fingerprints, for ``n`` rows
-    of (rep, f0, f1) with distinct fingerprints."""
-    bits, tables = p.tables(n)
-    rng = np.random.default_rng(p.seed + 1)
-    samples = [rng.choice(BITS, bits, replace=False) for _ in range(tables)]
+    """(a, b): spanning edges between the ``node`` of close fingerprints, for ``n``
+    distinct rows of (node, f0, f1)."""
+    tables = p.tables(n)
+    buckets = max(1, -(-n * len(tables) // p.bucket))
+
+    def keys(fp: np.ndarray):
+        """For each table, a hash of the bits of each fingerprint that make its bucket."""
+        for t, chosen in enumerate(tables):
+            mask = np.zeros((WORDS,), np.uint64)
+            np.bitwise_or.at(mask, chosen >> 6, np.uint64(1) << (chosen & 63).astype(np.uint64))
+            masked = fp & mask
+            yield t, textops.mix(textops.mix(masked[:, 0] + np.uint64(t + 1)) * np.uint64(textops._BASE) + masked[:, 1])
 
     def spread(it):
         for b in it:
-            fp = np.stack([b.column(k).to_numpy() for k in (1, 2)], 1).view(np.uint64)
-            tab = pivot_table(fp, p)
-            piv = pa.Array.from_buffers(pa.binary(p.pivots), len(fp), [None, pa.py_buffer(tab.tobytes())])
-            unpacked = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
-            for t, s in enumerate(samples):
-                key = unpacked[:, s].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                key = textops.mix(key.astype(np.uint64) + np.uint64(0x51ED2700 * (t + 1)) * np.uint64(1 << 20)).view(np.int64)
-                yield pa.record_batch([pa.array(key), *b.columns, piv.cast(pa.binary())], ["k", "rep", "f0", "f1", "piv"])
-
-    def verify(it):
-        held: list[np.ndarray] = []
-
-        def solve(key, rep, fp, tab):
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            a, c = [], []
-            for s, e in zip(first, np.r_[first[1:], len(key)]):
-                if e - s > 1:
-                    label = group_bucket(fp[s:e], tab[s:e], p)
-                    x = np.flatnonzero(label != np.arange(e - s))
-                    a.append(rep[s + x])
-                    c.append(rep[s + label[x]])
-            return np.concatenate(a or [rep[:0]]), np.concatenate(c or [rep[:0]])
-
-        for b in it:
-            if not len(b):
-                continue
-            fp = np.stack([b.column(k).to_numpy() for k in (2, 3)], 1).view(np.uint64)
-            piv = b.column(4)
-            tab = np.frombuffer(piv.buffers()[2], np.uint8)[: (piv.offset + len(b)) * p.pivots].reshape(-1, p.pivots)[piv.offset :]
-            rows = [b.column(0).to_numpy(), b.column(1).to_numpy(), fp, tab]
-            held = [np.concatenate(x) for x in zip(held, rows)] if held else rows
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
-            if whole:
-                x, y = solve(*(c[:whole] for c in held))
-                held = [c[whole:] for c in held]
-                yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
-        if held:
-            x, y = solve(*held)
-            yield pa.record_batch([pa.array(x), pa.array(y)], ["a", "b"])
-
-    return (
-        reps.select("rep", "f0", "f1").mapInArrow(spread, "k long, rep long, f0 long, f1 long, piv binary")
-        .repartition("k").sortWithinPartitions("k", "rep").mapInArrow(verify, "a long, b long").distinct()
-    )
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            fp = np.stack(cols[1:], 1).view(np.uint64)
+            for t, key in keys(fp):
+                o = np.argsort(key)
+                yield pack(bucket_of(key[o], buckets), [key[o], *[c[o] for c in cols]], ["k", "node", "f0", "f1"])
+
+    def verify(t: pa.Table) -> pa.Table:
+        key, *cols = (unpack(t[c], np.int64) for c in ("k", "node", "f0", "f1"))
+        o = np.argsort(key, kind="stable")
+        first = starts(key[o])
+        size = np.diff(np.append(first, len(o)))
+        ids = cols[0][o]
+        fp = np.stack(cols[1:], 1).view(np.uint64)[o]
+        a, c = [], []
+        for s, m in zip(first[size > 1], size[size > 1]):
+            f = fp[s : s + m]
+            label = group_bucket(f, pivot_table(f, p), p)
+            x = np.flatnonzero(label != np.arange(m))
+            a.append(ids[s + x])
+            c.append(ids[s + label[x]])
+        z = ids[:0]
+        pair = np.stack([np.concatenate(a or [z]), np.concatenate(c or [z])], 1)
+        pair = np.unique(pair, axis=0) if len(pair) else pair
+        return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    packed = reps.select("node", "f0", "f1").mapInArrow(spread, "bucket int, k binary, node binary, f0 binary, f1 binary")
+    return packed.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
+
+
+def _losers(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, f0, f1, dup_of) of every document, a doc_id and a fingerprint, that isn't
+    the one of its group to stay: the least doc_id, or the least fingerprint where none has an id."""
+    fps = materialize(_fingerprint_table(docs).distinct(), "fingerprints")
+    reps = fps.select("f0", "f1").distinct().select(node("f0", "f1").alias("node"), "f0", "f1")
+    found = materialize(edges(reps, reps.count(), p), "pairs")
+    comp = connected_components(found)
+    own = fps.withColumn("node", node("f0", "f1")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("f0"), F.col("f1"))
+    best = own.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = own.join(best, "component").where(order != F.col("best")).select("doc_id", "f0", "f1", F.col("best.doc_id").alias("dup_of"))
+    out = materialize(out, "duplicates")
+    for t in (fps, found, comp):
+        discard(t)
+    return out
 
 
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, dup_of): each document of a group but its least doc_id, with that doc_id.
 
-    Rows with a null doc_id, or whose text is null or blank, are in no group. Repeated
-    rows of one doc_id and text are one document; where one doc_id has several texts,
-    its groups merge. An empty table gives no rows.
+    Rows without a doc_id, or whose text is null or blank, aren't listed (those without an
+    id still link others). Repeated rows of one doc_id and text are one document; texts of
+    one doc_id that aren't close are documents of their own, so that a doc_id may be listed
+    once for each. Groups of equal texts count as ties: the least doc_id stays. An empty
+    table gives no rows; other columns play no part.
     """
-    fps = materialize(_fingerprint_table(docs), "fingerprints")
-    reps = materialize(fps.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), "reps")
-    n = reps.count()
-    same = fps.join(reps, ["f0", "f1"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
-    found = materialize(edges(reps, n, p).unionAll(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "pairs")
-    comp = connected_components(found)
-    out = comp.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("dup_of"))
-    for t in (fps, reps, found):
-        discard(t)
-    return out
+    return _losers(docs, p).where("doc_id <> dup_of").select("doc_id", "dup_of").distinct()
 
 
 def drop_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that ``groups`` lists: one
-    document of each group stays. The listed ids grow with the documents, so they are
-    merged with them at every size and never broadcast."""
-    gone = groups(docs, p).select(F.col("doc_id").alias("_gone")).hint("merge")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs``, all columns, one of each group of near-duplicates.
+
+    That of the least doc_id stays; rows without an id only where their group has none
+    with one. Of rows with one doc_id and close texts one stays, by the hash of all its
+    columns. Rows whose text is null or blank all stay. An empty table gives no rows.
+    Rows of one document within a batch fold before they are moved; the decisions grow
+    with the documents, so they are merged with them at every size and never broadcast.
+    """
+    f0, f1, mark, order, nth = fresh(docs, "f0", "f1", "mark", "order", "nth")
+    at, ids, cols = docs.columns.index("text"), docs.columns.index("doc_id"), len(docs.columns)
+
+    def run(it):
+        for b in it:
+            f = fingerprints(b.column(at)).view(np.int64)
+            out = pa.record_batch([*b.columns, *[pa.array(f[:, w]) for w in range(WORDS)]], [*b.schema.names, f0, f1])
+            rank = b.column(cols - 1).to_numpy()
+            doc = b.column(ids)
+            same = np.lexsort((rank, doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), f[:, 1], f[:, 0]))
+            first = starts(doc.fill_null(0).to_numpy(zero_copy_only=False)[same], doc.is_null().to_numpy(zero_copy_only=False)[same], f[same, 0], f[same, 1])
+            keep = (f == 0).all(1)
+            keep[same[first]] = True
+            yield out.filter(pa.array(keep))
+
+    typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")) if dict(docs.dtypes)["doc_id"] != "bigint" else docs
+    row = typed.withColumn(order, F.xxhash64(*docs.columns))
+    cols += 1
+    marked = row.mapInArrow(run, StructType([*row.schema.fields, StructField(f0, LongType()), StructField(f1, LongType())]))
+    blank = (F.col(f0) == 0) & (F.col(f1) == 0)
+    marked = marked.withColumn(mark, F.when(blank, F.col(order)).otherwise(F.xxhash64("doc_id", f0, f1)))
+    gone = _losers(docs, p).select(F.xxhash64("doc_id", "f0", "f1").alias(nth)).hint("merge")
+    left = marked.join(gone, marked[mark] == gone[nth], "left_anti")
+    one = left.withColumn(nth, F.row_number().over(Window.partitionBy(mark).orderBy(order))).where(blank | (F.col(nth) == 1))
+    return one.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -7,13 +7,26 @@ from pyspark.sql import DataFrame, functions as F
 from ..tables import discard, materialize
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; the component is its least node.
 
     Alternating large-star and small-star (Kiveris et al. 2014): each round is two
     aggregations and joins on the node, all combined map-side, with no state on any one
     machine; rounds grow with the logarithm of the diameter. Loops and null ends are
-    ignored (a node with only a loop has no row); repeated edges count once.
+    ignored (a node with only a loop has no row); repeated edges count once. The result is a
+    kept table.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -48,4 +61,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         seen = now
     stars = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = materialize(stars.unionAll(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    discard(cur)
+    return out

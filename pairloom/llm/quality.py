@@ -101,7 +101,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], p: Params) -> tuple[np.ndarray, flo
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.ndarray, float]:
     """Fits on at most ``p.max_train`` labelled documents. Labels that are null, or not
     0 or 1, are left out; of contradicting labels the lower holds; a repeated doc_id is
-    one document, the one with the least text. Without labelled documents all weights
+    one document, that with the least features, compared as bytes. Without labelled documents all weights
     are 0 and every probability is 0.5."""
     spark = docs.sparkSession
     lab = (
@@ -136,34 +136,43 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[np.nd
     return ftrl(rows, p) if rows else (np.zeros(1 << p.bits), 0.0)
 
 
+def _least(weights: np.ndarray, bias: float, p: Params) -> float:
+    """The score from which a document is kept; without a model every one is."""
+    return p.threshold if bias or weights.any() else 0.0
+
+
 def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """(doc_id, score, keep) for every row of ``docs``.
 
     score is the probability of good quality, rounded to 6 digits. Null and empty
-    texts, and texts without a token, get the prior. Repeated rows are scored each.
+    texts, and texts without a token, get the prior. Repeated rows are scored each, rows without
+    an id too; other columns play no part. Without labelled documents all score 0.5 and are kept.
     """
     weights, bias = fit(docs, labels, p)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 2 ** bits numbers
+    least = _least(weights, bias, p)
 
     def run(it):
         w, b0 = model.value
         for b in it:
             s = np.round(probabilities(b.column(1), w, b0, p), 6)
-            yield pa.record_batch([b.column(0), pa.array(s), pa.array(s >= p.threshold)], ["doc_id", "score", "keep"])
+            yield pa.record_batch([b.column(0), pa.array(s), pa.array(s >= least)], ["doc_id", "score", "keep"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``score`` keeps; no shuffle."""
+    """The rows of ``docs``, all columns, that ``score`` keeps; no shuffle. Rows stay or go by
+    their text alone; without labelled documents there is no model and all stay. An empty
+    table gives no rows."""
     weights, bias = fit(docs, labels, p)
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    model, least = docs.sparkSession.sparkContext.broadcast((weights, bias)), _least(weights, bias, p)
     at = docs.columns.index("text")
 
     def run(it):
         w, b0 = model.value
         for b in it:
             s = np.round(probabilities(b.column(at), w, b0, p), 6)
-            yield b.filter(pa.array(s >= p.threshold))
+            yield b.filter(pa.array(s >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -47,11 +47,11 @@ def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ledger(_t(spark, sf_dir, "documents"))
+    return rules.ledger(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
 def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablation(rules.ledger(_t(spark, sf_dir, "documents")))
+    return rules.ablation(rules.ledger(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

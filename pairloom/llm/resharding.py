@@ -4,7 +4,7 @@ A shard falls into blocks by hash of doc_id; a flow network of the old shards, t
 ones and a hub (staying is free, a byte through the hub costs 1) gives the bytes that go
 from each old shard to each new one; whole blocks fill these flows. Sizes are counted in
 two scans, the network has as many nodes as shards and lies on the driver, and the plan,
-a row per block, is joined to the documents: no text is shuffled.
+a row per block, is broadcast to the documents: no text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,17 +15,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from .plumbing import fresh
+
 NONE = "(none)"  # the shard of documents without one
 
 
 @dataclass(frozen=True)
 class Params:
     """New shards are the old ones, of equal capacity: their mean size and ``slack``.
-    A block holds about ``1 / blocks`` of a capacity."""
+    A block holds about ``1 / blocks`` of a mean shard; there are at most ``max_rows``
+    blocks and one a shard, so that the plan stays small enough to plan on the driver and
+    to broadcast: with more than max_rows / blocks shards, blocks are larger."""
 
     slack: float = 0.05
     blocks: int = 256
-    broadcast_rows: int = 200_000  # a larger plan is joined by shuffle
+    max_rows: int = 500_000
 
 
 class Network:
@@ -107,8 +111,9 @@ def transfers(sizes: dict[str, int], capacities: dict[str, int]) -> dict[tuple[s
     return out
 
 
-def assign(blocks: dict[tuple[str, int], int], capacities: dict[str, int]) -> dict[tuple[str, int], str]:
-    """New shard of each (old shard, block): whole blocks, so a flow is met to within a block."""
+def assign(blocks: dict[tuple[str, int], int], capacities: dict[str, int], strict: bool = True) -> dict[tuple[str, int], str]:
+    """New shard of each (old shard, block): whole blocks, so a flow is met to within a block.
+    A block that fits nowhere is an error, or else (not ``strict``) goes where most room is left."""
     sizes: dict[str, int] = defaultdict(int)
     of: dict[str, list] = defaultdict(list)
     for (s, b), n in sorted(blocks.items()):
@@ -133,6 +138,8 @@ def assign(blocks: dict[tuple[str, int], int], capacities: dict[str, int]) -> di
             plan[s, b] = t
     for n, s, b in sorted(later, key=lambda x: (-x[0], x[1:])):  # remainders under a block
         t = s if room.get(s, -1) >= n else max(room, key=lambda t: (room[t], t))
+        if room[t] < n and strict:
+            raise ValueError(f"a block of {n} bytes fits no shard: at most {room[t]} bytes are left in one")
         room[t] -= n
         plan[s, b] = t
     return plan
@@ -148,32 +155,40 @@ def reshard(docs: DataFrame, p: Params = Params(), capacities: dict[str, int] |
 
     A row's size is the bytes of its text, 0 for null; a null shard is the shard
     ``(none)``; a null doc_id has a hash like any other. Rows of equal doc_id and shard
-    stay together. Columns of ``docs`` with one of the names added are replaced. An
+    stay together. A column of ``docs`` that is named like one of those added is replaced,
+    other names never clash. Given ``capacities`` are kept, or ValueError is raised; by default,
+    where a block (say, one long text) fits no shard, that with most room goes over. An
     empty table gives no rows.
     """
     spark = docs.sparkSession
     old, size = F.coalesce(F.col(shard).cast("string"), F.lit(NONE)), _bytes()
     sizes = {r.s: r.n for r in docs.groupBy(old.alias("s")).agg(F.sum(size).alias("n")).collect()}
-    if capacities is None:
+    given = capacities is not None
+    if not given:
         capacities = {s: int(sum(sizes.values()) / len(sizes) * (1 + p.slack)) + 1 for s in sizes} if sizes else {}
-    unit = max(1, min(capacities.values(), default=1) // p.blocks)
+    blocks = max(1, min(p.blocks * max(1, len(sizes)), p.max_rows))
+    unit = max(1, sum(sizes.values()) // blocks)
     count = {s: max(1, -(-n // unit)) for s, n in sizes.items()}
-    counts = spark.createDataFrame(sorted(count.items()), "_s string, _c long")
-    keyed = docs.withColumn("old_shard", old).join(F.broadcast(counts), F.col("old_shard") == counts["_s"])  # a row per shard
-    keyed = keyed.withColumn("block", F.expr("pmod(xxhash64(doc_id), _c)")).drop("_s", "_c")
-    rows = keyed.groupBy("old_shard", "block").agg(F.sum(size).alias("n")).collect()
-    plan = assign({(r.old_shard, r.block): r.n for r in rows}, capacities)
+    key, number, key2, number2 = fresh(docs, "shard", "blocks", "shard2", "block2")
+    added = ["old_shard", "block", "new_shard", "moved", "affected"]
+    rest = [c for c in docs.columns if c.lower() not in added]
+    home, place = fresh(docs, "old", "place")
+    counts = spark.createDataFrame(sorted(count.items()), f"`{key}` string, `{number}` long")
+    keyed = docs.withColumn(home, old).join(F.broadcast(counts), F.col(home) == F.col(key))  # a row per shard
+    keyed = keyed.withColumn(place, F.expr(f"pmod(xxhash64(doc_id), `{number}`)"))
+    rows = keyed.groupBy(home, place).agg(F.sum(size).alias("n")).collect()
+    plan = assign({(r[0], r[1]): r[2] for r in rows}, capacities, strict=given)
     touched = {x for (s, _), t in plan.items() if s != t for x in (s, t)}
     table = spark.createDataFrame(
         [(s, b, t, s != t, t in touched) for (s, b), t in sorted(plan.items())],
-        "_s string, _b long, new_shard string, moved boolean, affected boolean",
+        f"`{key2}` string, `{number2}` long, new_shard string, moved boolean, affected boolean",
     )
-    if len(plan) <= p.broadcast_rows:  # about ``blocks`` rows a shard
-        table = F.broadcast(table)
-    clean = keyed.drop("new_shard", "moved", "affected")
-    return clean.join(table, (clean["old_shard"] == table["_s"]) & (clean["block"] == table["_b"])).drop("_s", "_b")
+    clean = keyed.select(*[F.col(f"`{c}`") for c in rest], home, place)
+    out = clean.join(F.broadcast(table), (F.col(home) == F.col(key2)) & (F.col(place) == F.col(number2)))  # p.max_rows and one a shard
+    return out.select(*[F.col(f"`{c}`") for c in rest], F.col(home).alias("old_shard"), F.col(place).alias("block"), "new_shard", "moved", "affected")
 
 
 def rewrite(resharded: DataFrame, path: str) -> None:
-    """Writes the affected new shards, and only them, as ``path``/new_shard=<name>/."""
+    """Writes the affected new shards, and only them, as ``path``/new_shard=<name>/, with all
+    columns of the documents; where none is affected, or the table is empty, no shard is written."""
     resharded.where("affected").drop("old_shard", "block", "moved", "affected").write.partitionBy("new_shard").parquet(path)

@@ -23,14 +23,15 @@ OPS = {
     "op6": lambda d, b, l: neardup.groups(d),
     "op7": lambda d, b, l: resharding.reshard(d),
     "op8": lambda d, b, l: suffixtree.score(d),
-    "op9": lambda d, b, l: rules.ledger(d),
+    "op9": lambda d, b, l: rules.ledger(d, l),
+    "ablation": lambda d, b, l: rules.ablation(rules.ledger(d, l)),
     "op10": lambda d, b, l: quality.score(d, l),
     "keep_good": lambda d, b, l: quality.keep_good(d, l),
     "drop_duplicates": lambda d, b, l: neardup.drop_duplicates(d),
     "drop_contaminated": lambda d, b, l: decontaminate.drop_contaminated(d, b),
     "mix": lambda d, b, l: mixing.mix(d),
 }
-ROWS = {"op2": 7, "op4": 2, "op5": 10, "op6": 1, "op7": 10, "op8": 10, "op9": 10, "op10": 10, "drop_duplicates": 9, "drop_contaminated": 7}
+ROWS = {"op2": 9, "op4": 2, "op5": 10, "op6": 1, "op7": 10, "op8": 10, "op9": 10, "op10": 10, "drop_duplicates": 8, "drop_contaminated": 7}
 
 
 @pytest.mark.parametrize("name", OPS)
