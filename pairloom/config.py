@@ -16,8 +16,6 @@ ALGORITHMS = (
 )
 _ALIASES = {"n-gram": "ngram", "tf-idf": "tfidf", "jaro": "char-jaro", "damerau": "damerau-levenshtein", "dice": "sorensen-dice"}
 MAX_REGEX, MAX_PATH, MAX_TOPK = 1000, 4096, 100
-#: what the line filter of the original can't say: look-around and back references
-_UNSUPPORTED = re.compile(r"\(\?(?:=|!|<=|<!)|\\[1-9]|\\k<|\(\?>|[*+?}]\+")
 _BLOCKED_ROOTS = ("/proc", "/sys", "/dev", "/etc", "/boot")
 
 
@@ -85,20 +83,80 @@ def algorithm_name(name: str) -> str:
     return _ALIASES.get(low, low)
 
 
+_POSIX = {
+    "alpha": r"\p{Alpha}", "digit": r"\p{Digit}", "alnum": r"\p{Alnum}", "upper": r"\p{Upper}", "lower": r"\p{Lower}", "punct": r"\p{Punct}", "space": r"\s",
+    "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}", "print": r"\p{Print}", "xdigit": r"\p{XDigit}", "word": r"\w", "ascii": r"\p{ASCII}",
+}
+
+
+def java_pattern(pattern: str) -> str:
+    """``pattern`` in the syntax of Java: named groups and POSIX classes rewritten. Raises
+    ValueError on what automata can't match: look-around, back references, atomic groups and
+    possessive repeats."""
+    out, i, inside = [], 0, 0
+    while i < len(pattern):
+        rest = pattern[i:]
+        if rest[0] == "\\" and len(rest) > 1:
+            if not inside and (rest[1] in "123456789" or rest[1] == "k"):
+                raise ValueError("back references aren't supported")
+            m = re.match(r"\\[pPx]\{[^}]*\}|\\.", rest, re.S)
+            out.append(m[0])
+            i += len(m[0])
+            continue
+        if inside and (m := re.match(r"\[:(\^?)(\w+):\]", rest)):
+            if m[2] not in _POSIX:
+                raise ValueError(f"no such class: {m[2]}")
+            name = _POSIX[m[2]]
+            out.append(name.swapcase() if m[1] and len(name) == 2 else name.replace(r"\p", r"\P") if m[1] else name)
+            i += len(m[0])
+            continue
+        if rest[0] == "[":
+            m = re.match(r"\[\^?\]?", rest)
+            out.append(m[0].replace("]", r"\]"))
+            inside, i = inside + 1, i + len(m[0])
+            continue
+        if rest[0] == "]" and inside:
+            inside -= 1
+        elif not inside:
+            if re.match(r"\(\?(=|!|<=|<!|>)", rest):
+                raise ValueError("look-around and atomic groups aren't supported")
+            if rest.startswith("(?P<"):
+                out.append("(?<")
+                i += 4
+                continue
+            if re.match(r"[*+?}]\+", rest):
+                raise ValueError("possessive repeats aren't supported")
+        out.append(rest[0])
+        i += 1
+    return "".join(out)
+
+
 def line_filter(pattern: str | None) -> str | None:
-    """``pattern`` if it can be used as a line filter, else None with a warning."""
+    """``pattern`` as Spark runs it if it can be used as a line filter, else None with a
+    warning. It is compiled by the engine that will run it, where a session is active."""
     if not pattern:
         return None
-    problem = "too long" if len(pattern) > MAX_REGEX else "look-around and back references aren't supported" if _UNSUPPORTED.search(pattern) else None
+    problem, java = "too long" if len(pattern) > MAX_REGEX else None, pattern
     if problem is None:
         try:
-            re.compile(pattern)
-        except re.error as e:
-            problem = str(e)
+            java = java_pattern(pattern)
+            _compile(java)
+        except Exception as e:  # of either engine
+            problem = str(e).splitlines()[0]
     if problem:
         warnings.warn(f"line filter {pattern[:40]!r} is skipped: {problem}", stacklevel=2)
         return None
-    return pattern
+    return java
+
+
+def _compile(pattern: str) -> None:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        sc._jvm.java.util.regex.Pattern.compile(pattern)
+    else:
+        re.compile(pattern.replace("(?<", "(?P<"))
 
 
 def checked_path(path: str) -> str:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from .normalize import WORDS, let
 
@@ -52,19 +55,28 @@ def md5_32(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
 
 
+@F.pandas_udf(LongType())
+def _majority(hashes: pd.Series, bits: pd.Series) -> pd.Series:
+    """For each row the bits that more than half of its hashes have."""
+    out = np.zeros(len(hashes), np.int64)
+    for i, (h, n) in enumerate(zip(hashes, bits)):
+        if h is not None and len(h):
+            votes = np.unpackbits(np.ascontiguousarray(h, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            won = 2 * votes > len(h)
+            won[n:] = False
+            out[i] = np.packbits(won, bitorder="little").view("<i8")[0]
+    return pd.Series(out)
+
+
+def simhash_of(grams: Column, hash_of=F.xxhash64, bits: int = BITS) -> Column:
+    """The SimHash of an array of strings, a multiset: each bit by majority of its hashes, ties
+    give 0, as do empty and null arrays. A map of the row: nothing is moved."""
+    return _majority(F.transform(grams, lambda g: hash_of(g)), F.lit(bits))
+
+
 def simhash(df: DataFrame, keys: list[str], grams: Column, name: str = "simhash", hash_of=F.xxhash64, bits: int = BITS) -> DataFrame:
-    """(keys, name): the SimHash of an array of strings for each distinct ``keys``.
-
-    Votes are summed per bit as whole numbers in one aggregation that combines map-side,
-    so a row of sums is all that moves; an empty or null array gives 0.
-    """
-    votes = df.select(*keys, F.explode_outer(grams).alias("_g")).select(*keys, hash_of(F.col("_g")).alias("_h"), F.col("_g").isNotNull().alias("_any"))
-    vote = [F.sum(F.when(F.col("_any"), F.lit(2) * F.shiftright("_h", i).bitwiseAND(F.lit(1)) - 1)).alias(f"_b{i}") for i in range(bits)]
-    value = F.lit(0).cast("long")
-    for i in range(bits):
-        bit = (1 << i) - (1 << 64 if i == 63 else 0)
-        value = value.bitwiseOR(F.when(F.col(f"_b{i}") > 0, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.groupBy(*keys).agg(*vote).select(*keys, value.alias(name))
+    """(keys, name): ``simhash_of`` of every row."""
+    return df.select(*keys, simhash_of(grams, hash_of, bits).alias(name))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -152,7 +152,7 @@ def structured_results(pairs: DataFrame, cfg: Config) -> DataFrame:
     key_names = F.array(*map(F.lit, cfg.key_columns)).cast("array<string>")
     j = pairs.select("linked_id", "path1", "path2")
     for n in (1, 2):
-        j = j.join(heads.select(c("path").alias(f"path{n}"), F.transform("head", lambda x: F.trim(x)).alias(f"head{n}")), f"path{n}", "left")
+        j = j.join(heads.select(c("path").alias(f"path{n}"), c("head").alias(f"head{n}")), f"path{n}", "left")
         j = j.join(failed.select(c("path").alias(f"path{n}"), c("error").alias(f"error{n}")), f"path{n}", "left")
     none = F.array().cast("array<string>")
     j = j.withColumn("error", F.coalesce("error1", "error2")).withColumns({f"head{n}": F.coalesce(f"head{n}", none) for n in (1, 2)})

@@ -18,6 +18,7 @@ from ..functions.values import values_equal, values_equal_sql
 from ..operators import measures, pairing
 from ..operators.structured import RecordDiff
 from ..sources.detect import detect, parse_header, sniff
+from ..tables import materialize
 from . import results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,19 +45,20 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ---- record diffs -------------------------------------------------------------------
 
 #: second versions; the expressions are the same in both dialects
-ORDERS1 = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(20, 5)) AS {text}) AS o_totalprice, o_orderpriority FROM orders"
+ORDERS1 = "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(20, 5)) AS {text}) AS o_totalprice, CAST(CAST(o_orderdate AS DATE) AS {text}) AS o_orderdate, o_orderpriority FROM orders"
 ORDERS2 = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 19 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-CAST(CAST(o_totalprice AS DECIMAL(20, 5)) + CASE WHEN o_orderkey % 13 = 0 THEN CAST(10 AS DECIMAL(20, 5)) WHEN o_orderkey % 11 = 0 THEN CAST(0.00001 AS DECIMAL(20, 5)) ELSE CAST(0 AS DECIMAL(20, 5)) END AS {text}) AS o_totalprice, o_orderpriority
+CAST(CAST(o_totalprice AS DECIMAL(20, 5)) + CASE WHEN o_orderkey % 13 = 0 THEN CAST(10 AS DECIMAL(20, 5)) WHEN o_orderkey % 11 = 0 THEN CAST(0.00001 AS DECIMAL(20, 5)) ELSE CAST(0 AS DECIMAL(20, 5)) END AS {text}) AS o_totalprice, CAST(CAST(o_orderdate AS DATE) AS {text}) AS o_orderdate, o_orderpriority
 FROM orders WHERE o_orderkey % 17 <> 0 UNION ALL
-SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(20, 5)) AS {text}), o_orderpriority FROM orders WHERE o_orderkey % 23 = 0"""
-LINES1 = "SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS DECIMAL(12, 2)) AS {text}) AS l_quantity, l_returnflag FROM lineitem"
-LINES2 = """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS DECIMAL(12, 2)) + CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS {text}) AS l_quantity, l_returnflag
+SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(20, 5)) AS {text}), CAST(CAST(o_orderdate AS DATE) AS {text}), o_orderpriority FROM orders WHERE o_orderkey % 23 = 0"""
+_REST = "l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(14, 2)) AS {text}) AS l_extendedprice, CAST(CAST(l_discount AS DECIMAL(14, 2)) AS {text}) AS l_discount, CAST(CAST(l_tax AS DECIMAL(14, 2)) AS {text}) AS l_tax, l_returnflag, l_linestatus, CAST(CAST(l_shipdate AS DATE) AS {text}) AS l_shipdate"
+LINES1 = f"SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS DECIMAL(12, 2)) AS {{text}}) AS l_quantity, {_REST} FROM lineitem"
+LINES2 = f"""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_quantity AS DECIMAL(12, 2)) + CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE 0 END AS {{text}}) AS l_quantity, {_REST}
 FROM lineitem WHERE l_partkey % 29 <> 0"""
-SUPPLIER1 = "SELECT s_suppkey, s_name, CAST(CAST(s_acctbal AS DECIMAL(20, 4)) AS {text}) AS s_acctbal FROM supplier"
-SUPPLIER2 = """SELECT s_suppkey, s_name, CAST(CAST(s_acctbal AS DECIMAL(20, 4)) + CASE s_suppkey % 5 WHEN 0 THEN CAST(0.0001 AS DECIMAL(20, 4)) WHEN 1 THEN CAST(0.01 AS DECIMAL(20, 4))
+SUPPLIER1 = "SELECT s_suppkey, s_name, s_nationkey, CAST(CAST(s_acctbal AS DECIMAL(20, 4)) AS {text}) AS s_acctbal FROM supplier"
+SUPPLIER2 = """SELECT s_suppkey, s_name, s_nationkey, CAST(CAST(s_acctbal AS DECIMAL(20, 4)) + CASE s_suppkey % 5 WHEN 0 THEN CAST(0.0001 AS DECIMAL(20, 4)) WHEN 1 THEN CAST(0.01 AS DECIMAL(20, 4))
 WHEN 2 THEN CAST(1 AS DECIMAL(20, 4)) WHEN 3 THEN CAST(40 AS DECIMAL(20, 4)) ELSE CAST(0 AS DECIMAL(20, 4)) END AS {text}) AS s_acctbal FROM supplier"""
-PART1 = "SELECT p_name, p_brand, p_size FROM part"
-PART2 = "SELECT p_name, CASE WHEN p_partkey % 9 = 0 THEN 'Brand#00' ELSE p_brand END AS p_brand, p_size FROM part WHERE p_partkey % 31 <> 0"
+PART1 = "SELECT p_name, p_brand, p_type, p_size, CAST(CAST(p_retailprice AS DECIMAL(14, 2)) AS {text}) AS p_retailprice FROM part"
+PART2 = "SELECT p_name, CASE WHEN p_partkey % 9 = 0 THEN 'Brand#00' ELSE p_brand END AS p_brand, p_type, p_size, CAST(CAST(p_retailprice AS DECIMAL(14, 2)) AS {text}) AS p_retailprice FROM part WHERE p_partkey % 31 <> 0"
 
 
 def _versions(spark: SparkSession, d: str, one: str, two: str) -> tuple[DataFrame, DataFrame]:
@@ -97,13 +99,14 @@ def _mismatches_sql(base: str, cols: tuple[str, ...], tol: float = TOL) -> str:
     return base + f", m AS ({rows})"
 
 
-O_ALL = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-O_KEY, O_COLS = ("o_orderkey",), ("o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+O_ALL = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+O_KEY, O_COLS = ("o_orderkey",), ("o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice")
 ORDERS_SQL = _diff_sql(ORDERS1, ORDERS2, O_KEY, O_COLS, O_ALL)
-L_ALL = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
-L_KEY, L_COLS = ("l_orderkey", "l_linenumber"), ("l_partkey", "l_quantity", "l_returnflag")
-S_ALL, S_KEY, S_COLS = ("s_suppkey", "s_name", "s_acctbal"), ("s_suppkey",), ("s_name", "s_acctbal")
-P_ALL = ("p_name", "p_brand", "p_size")
+_L_REST = ("l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+L_ALL = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", *_L_REST)
+L_KEY, L_COLS = ("l_orderkey", "l_linenumber"), tuple(sorted(("l_partkey", "l_quantity", *_L_REST)))
+S_ALL, S_KEY, S_COLS = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), ("s_suppkey",), ("s_name", "s_nationkey", "s_acctbal")
+P_ALL = ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")
 
 
 @query("struct_diff_counts", _counts_sql(ORDERS_SQL, O_COLS))
@@ -138,7 +141,7 @@ def struct_missing_key(spark, d):
     return _diff(spark, d, SUPPLIER1, SUPPLIER2, ("nope",)).counts
 
 
-@query("struct_ignore_columns", _counts_sql(_diff_sql(ORDERS1, ORDERS2, O_KEY, ("o_custkey", "o_orderpriority", "o_totalprice"), O_ALL), ("o_custkey", "o_orderpriority", "o_totalprice")))
+@query("struct_ignore_columns", _counts_sql(_diff_sql(ORDERS1, ORDERS2, O_KEY, ("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"), O_ALL), ("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")))
 def struct_ignore_columns(spark, d):
     return _diff(spark, d, ORDERS1, ORDERS2, O_KEY, ignore_columns=("o_orderstatus",)).counts
 
@@ -216,21 +219,29 @@ def _next(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(NEXT)
 
 
-@query("sim_levenshtein", f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS score FROM ({NAMES})")
-def sim_levenshtein(spark, d):
+@query("sim_levenshtein_names", f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS score FROM ({NAMES})")
+def sim_levenshtein_names(spark, d):
     return _names(spark, d).select("a", "b", F.round(measures.levenshtein(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("sim_damerau", f"SELECT a, b, round(1 - damerau_levenshtein(a, b) / greatest(length(a), length(b)), 6) AS score FROM ({NAMES})")
-def sim_damerau(spark, d):
+@query("sim_damerau_names", f"SELECT a, b, round(1 - damerau_levenshtein(a, b) / greatest(length(a), length(b)), 6) AS score FROM ({NAMES})")
+def sim_damerau_names(spark, d):
     return _names(spark, d).select("a", "b", F.round(measures.damerau(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query("sim_jaro_winkler", f"SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS score FROM ({NAMES})")
-def sim_jaro_winkler(spark, d):
+@query("sim_jaro_winkler_names", f"SELECT a, b, round(jaro_winkler_similarity(a, b), 6) AS score FROM ({NAMES})")
+def sim_jaro_winkler_names(spark, d):
     return _names(spark, d).select("a", "b", F.round(measures.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+for _m in ("levenshtein", "damerau", "jaro_winkler"):
+    @query(f"sim_{_m}")
+    def _characters(spark, d, m=_m):
+        """Whole texts of each document and the next, lines, white space and all."""
+        x = _next(spark, d).repartition("id")  # the cost of a pair is the product of its lengths
+        return x.select("id", F.round(getattr(measures, m)(F.col("a"), F.col("b")), 6).alias("score"))
+
+
 _WORDS_SQL = f"list_filter(regexp_split_to_array(lower({{t}}), '{WS}+'), lambda x: x <> '')"
 _GRAMS_SQL = "list_filter(flatten(list_transform(range(1, length({t}) + 1), lambda i: [substr({t}, i, 1), substr({t}, i, 2), substr({t}, i, 3)])), lambda x: strlen(x) = 3)"
 _PAIRS_SQL = "list_transform(range(1, length({t})), lambda i: substr({t}, i, 2))"
@@ -322,9 +333,7 @@ lower(lang) AS extension, doc_id, coalesce(text, '') AS text FROM documents""".r
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files, with 32-bit fingerprints of a hash that DuckDB has too."""
     _t(spark, d, "documents").createOrReplaceTempView("documents")
-    f = spark.sql(FILES.format(half="doc_id div 2"))
-    if f.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a scan of few splits
-        f = f.repartition("doc_id")
+    f = spark.sql(FILES.format(half="doc_id div 2")).repartition("doc_id")  # a hash of every shingle is much work for a row
     f = f.withColumn("k", detect(F.encode("text", "UTF-8"), F.col("extension")))
     f = f.select(
         "path", "rel_path", "name", F.col("size").cast("long").alias("size"), F.col("k.file_type").alias("file_type"), "extension",
@@ -358,7 +367,7 @@ _EST_SQL = "CAST(CASE WHEN l.content_hash = r.content_hash THEN 1.0 ELSE 1 - bit
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _files(spark, d)
+    f = materialize(_files(spark, d), "files")  # fingerprinted once, however often it is joined
     return f.where("doc_id % 2 = 0"), f.where("doc_id % 2 = 1")
 
 

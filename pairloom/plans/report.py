@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
-from .results import flat, most_different, status
+from .results import FLAT, flat, most_different, status
 
 SHOWN = {"files": 10, "rows": 15, "diffs": 5, "lines": 12, "tables": 5, "samples": 2, "all_samples": 8}
 VERBOSE = {"files": 10, "rows": 15, "diffs": 5, "lines": 12, "tables": 10, "samples": 5, "all_samples": 20}
@@ -93,6 +93,7 @@ def terminal(results: DataFrame, stats: dict, verbose: bool = False) -> str:
     return "\n\n".join(out)
 
 
+_HERE = "@pairs@"
 _PAGE = """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>Comparison</title><style>
 body{{font:14px/1.4 system-ui,sans-serif;margin:2em;color:#222}} .cards{{display:flex;gap:1em;flex-wrap:wrap}}
@@ -117,16 +118,11 @@ document.getElementById("q").oninput=draw;draw();
 """
 
 
-def write_html(results: DataFrame, stats: dict, path: str, artifacts: str | None = None, most: int = 5000) -> None:
-    """A page with the summary, the run and the ``most`` least similar pairs (all are in the
-    JSON Lines), which can be sorted, filtered and opened."""
-    keep = results.orderBy("similarity_score", "file1_path", "file2_path").limit(most)
-    rows = []
-    table_rows = flat(keep.withColumn("total_field_mismatches", F.col("total_field_mismatches"))).collect()
-    for f, r in zip(table_rows, keep.collect()):
-        detail = r.error or (r.detailed_diff or "")[:20000] if r.type != "Structured" else "\n".join(mismatch_lines(r, VERBOSE))
-        rows.append(f.asDict() | {"detail": detail})
-    cols = list(table_rows[0].asDict()) if table_rows else []
+def write_html(results: DataFrame, stats: dict, path: str, artifacts: str | None = None) -> None:
+    """A page with the summary, the run and all pairs, the least similar first, which can be
+    sorted, filtered and opened. Pairs are streamed into the page, one partition at a time."""
+    cols = list(FLAT)
+    keep = flat(results, "*").orderBy(F.col("similarity").asc(), "file1_path", "file2_path")
     pairs = max(1, stats.get("pairs_compared", 0))
     cards = "".join(
         f'<div class="card"><b>{stats.get(k, 0)}</b>{label} ({round(100 * stats.get(k, 0) / pairs)}%)</div>'
@@ -136,8 +132,14 @@ def write_html(results: DataFrame, stats: dict, path: str, artifacts: str | None
     run = "".join(f"<tr><td>{html.escape(k)}</td><td>{html.escape(str(v))}</td></tr>" for k, v in shown.items() if v is not None)
     page = _PAGE.format(
         cards=cards, run=run, head="".join(f"<th>{c}</th>" for c in cols), cols=json.dumps(cols),
-        note=f"<p>The {most} least similar of {stats.get('pairs_compared')} pairs.</p>" if stats.get("pairs_compared", 0) > most else "",
-        data=json.dumps(rows, ensure_ascii=False).replace("<", "\\u003c"),
+        note="", data=_HERE,
     )
+    before, after = page.split(_HERE)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(page, encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(before + "[")
+        for n, r in enumerate(keep.toLocalIterator()):
+            whole = r["whole"]
+            detail = "\n".join(mismatch_lines(whole, VERBOSE)) if whole.type == "Structured" else whole.error or whole.detailed_diff or ""
+            f.write("," * (n > 0) + json.dumps({c: r[c] for c in cols} | {"detail": detail}, ensure_ascii=False).replace("<", "\\u003c"))
+        f.write("]" + after)

@@ -54,8 +54,8 @@ def most_different(results: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.limit(n)
 
 
-def flat(results: DataFrame) -> DataFrame:
-    """Twelve columns of text, one row per pair."""
+def flat(results: DataFrame, *more: str) -> DataFrame:
+    """Twelve columns of text, one row per pair; with ``"*"`` also similarity and the whole row."""
     t = F.col("type")
 
     def text(c) -> Column:
@@ -65,6 +65,7 @@ def flat(results: DataFrame) -> DataFrame:
         return F.when(t == "Text", text(txt)).when(t == "Structured", text(structured)).when(t == "HashOnly", text(hashed)).otherwise("")
 
     c, same = F.col, F.col("identical")
+    extra = [c("similarity_score").alias("similarity"), F.struct(*results.columns).alias("whole")] if more else []
     kind = F.when(t == "HashOnly", "binary").otherwise(F.lower(t))
     return results.select(
         F.when(t == "Error", "").otherwise(text(c("linked_id"))).alias("linked_id"), "file1_path", "file2_path", kind.alias("type"),
@@ -76,4 +77,5 @@ def flat(results: DataFrame) -> DataFrame:
         by(c("only_in_file1"), c("only_in_file1"), F.lit(0)).alias("only_in_file1"),
         by(c("only_in_file2"), c("only_in_file2"), F.lit(0)).alias("only_in_file2"),
         F.when(t == "Error", text(c("error"))).otherwise(by(c("only_in_file1") + c("only_in_file2"), c("total_field_mismatches"), (~same).cast("int"))).alias("total_mismatches"),
+        *extra,
     )
