@@ -7,10 +7,12 @@ group and kind within a size range, and each left file keeps its best ``topk``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..config import Config
-from ..functions.fingerprint import estimate_similarity
+from ..functions.fingerprint import BITS, estimate_similarity
 
 GROUPS = {
     "text": ("txt", "log", "md", "rst", ""),
@@ -80,18 +82,77 @@ def match_exact(left: DataFrame, right: DataFrame) -> DataFrame:
     return _out(l.join(r, (l["l_content_hash"] == r["r_content_hash"]) & (l["l_n"] == r["r_n"])), F.lit(True), F.lit(1.0))
 
 
-def match_similar(left: DataFrame, right: DataFrame, topk: int = 3) -> DataFrame:
+def _best(topk: int):
+    """(left, right) Arrow tables of one block of either side to the best right files of each left one."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("path")  # so that the first of equals has the least path
+        l, r = ({c: t[c].fill_null(0).to_numpy() for c in ("size", "content", "signature")} for t in (left, right))
+        known = {p: {c: t[c].is_valid().to_numpy() for c in ("content", "print", "signature")} for p, t in (("l", left), ("r", right))}
+        prints = [t["print"].fill_null(0).to_numpy().view(np.uint64) for t in (left, right)]
+        path1, path2, sims = [], [], []
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for s in range(0, len(left), step):
+            e = min(len(left), s + step)
+
+            def both(c):
+                return known["l"][c][s:e, None] & known["r"][c][None]
+
+            def same(c):
+                return both(c) & (l[c][s:e, None] == r[c][None])
+
+            a, b = l["size"][s:e, None].astype(float), r["size"][None].astype(float)
+            sized = (a > 0) & (b > 0)
+            sim = np.where(sized, 0.3 * np.minimum(a, b) / np.where(sized, np.maximum(a, b), 1), 0.0)
+            sim[same("signature")] = 0.5
+            distance = np.bitwise_count(prints[0][s:e, None] ^ prints[1][None])
+            sim = np.where(both("print"), 1 - distance / BITS, sim)
+            sim[same("content")] = 1.0
+            sim[~(~sized | ((a <= RATIO * b) & (b <= RATIO * a)))] = -1.0
+            rows = np.arange(e - s)
+            for _ in range(min(topk, len(right))):
+                j = sim.argmax(1)
+                v = sim[rows, j]
+                ok = v >= 0
+                path1.append(s + rows[ok])
+                path2.append(j[ok])
+                sims.append(v[ok])
+                sim[rows, j] = -1.0
+        i, j = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (path1, path2))
+        return pa.table([left["path"].take(pa.array(i)), right["path"].take(pa.array(j)), pa.array(np.concatenate(sims or [np.zeros(0)]))], ["l_path", "r_path", "sim"])
+
+    return run
+
+
+def match_similar(left: DataFrame, right: DataFrame, topk: int = 3, block: int = 16_384) -> DataFrame:
     """The ``topk`` best right files of each left file among those it may be compared with,
     with their rank; of equals the first path.
 
-    The candidates are every pair of a block, as an exact top-k needs; the rank limit
-    applies within each task of the join before anything else is shuffled.
+    An exact top-k compares every pair of files of one extension group and kind: in blocks of
+    about ``block`` files of either side, each pair of blocks a task's work on arrays, from which
+    the best of each left file go on. No group is one task's work, however large.
     """
-    l, r = _sides(left, right)
-    on = (l["l_group"] == r["r_group"]) & (l["l_binary"] == r["r_binary"]) & sizes_compatible(l["l_size"], r["r_size"])
-    j = l.join(r, on).withColumn("sim", estimate_similarity("l_", "r_").cast("double"))
+    def side(df: DataFrame) -> DataFrame:
+        return df.select(
+            "path", F.col("size").cast("long").alias("size"), F.xxhash64(extension_group(F.col("extension")), F.col("file_type") == "Binary").alias("g"),
+            *[F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(n) for c, n in (("content_hash", "content"), ("schema_signature", "signature"))],
+            F.col("simhash").cast("long").alias("print"),
+        )
+
+    l, r = side(left), side(right)
+    n1, n2 = (x.groupBy("g").agg(F.ceil(F.count("*") / block).alias(n)) for x, n in ((l, "n1"), (r, "n2")))
+    blocks = n1.join(n2, "g")
+
+    def spread(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        x = df.join(blocks, "g").withColumn(mine, F.pmod(F.xxhash64("path"), F.col(own)))
+        named = ("g", mine, "path", "size", "content", "signature", "print")
+        return x.select(*[F.col(c).alias(c) for c in named], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(theirs))
+
+    a = spread(l, "n1", "n2", "i", "j").groupBy("g", "i", "j")
+    b = spread(r, "n2", "n1", "j", "i").groupBy("g", "i", "j")
+    found = a.cogroup(b).applyInArrow(_best(topk), "l_path string, r_path string, sim double")
     w = Window.partitionBy("l_path").orderBy(F.desc("sim"), "r_path")
-    best = j.select("l_path", "r_path", "sim").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk)
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= topk)
     return best.select(F.col("l_path").alias("path1"), F.col("r_path").alias("path2"), F.col("sim").alias("est_sim"), F.lit(False).alias("exact_hash_match"), "rank")
 
 

@@ -6,6 +6,7 @@ every document with the next one; pairing treats documents as files, even ids ag
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -42,6 +43,17 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_TABLES = ("orders", "lineitem", "supplier", "part", "documents")
+
+
+def _over(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """``text`` over the supplied tables, without views that the caller might have too."""
+    used = [t for t in _TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
+    for t in used:
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
+    return spark.sql(text, **{t: _t(spark, d, t) for t in used})
+
+
 # ---- record diffs -------------------------------------------------------------------
 
 #: second versions; the expressions are the same in both dialects
@@ -62,10 +74,7 @@ PART2 = "SELECT p_name, CASE WHEN p_partkey % 9 = 0 THEN 'Brand#00' ELSE p_brand
 
 
 def _versions(spark: SparkSession, d: str, one: str, two: str) -> tuple[DataFrame, DataFrame]:
-    for t in ("orders", "lineitem", "supplier", "part"):
-        if t in one:
-            _t(spark, d, t).createOrReplaceTempView(t)
-    return spark.sql(one.format(text="STRING")), spark.sql(two.format(text="STRING"))
+    return _over(spark, d, one.format(text="STRING")), _over(spark, d, two.format(text="STRING"))
 
 
 def _diff(spark: SparkSession, d: str, one: str, two: str, keys: tuple[str, ...], tol: float = TOL, **more) -> RecordDiff:
@@ -183,8 +192,7 @@ WHEN 4 THEN concat('+', s_suppkey, '.0') WHEN 5 THEN 'NaN' WHEN 6 THEN 'Infinity
 
 @query("values_equal", f"SELECT s_suppkey, b, {values_equal_sql('a', 'b', 0.001)} AS equal FROM ({NUMBERS})")
 def values_equal_query(spark, d):
-    _t(spark, d, "supplier").createOrReplaceTempView("supplier")
-    return spark.sql(NUMBERS).select("s_suppkey", "b", values_equal(F.col("a"), F.col("b"), 0.001).alias("equal"))
+    return _over(spark, d, NUMBERS).select("s_suppkey", "b", values_equal(F.col("a"), F.col("b"), 0.001).alias("equal"))
 
 
 @query("schema_diff", "SELECT 'common' AS kind, unnest(['c_custkey', 'c_name']) AS column_name UNION ALL SELECT 'only1', unnest(['c_mktsegment', 'c_nationkey']) UNION ALL SELECT 'only2', unnest(['balance', 'nation'])")
@@ -210,13 +218,11 @@ NEXT = "SELECT x.doc_id AS id, coalesce(x.text, '') AS a, coalesce(y.text, '') A
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    _t(spark, d, "part").createOrReplaceTempView("part")
-    return spark.sql(NAMES)
+    return _over(spark, d, NAMES)
 
 
 def _next(spark: SparkSession, d: str) -> DataFrame:
-    _t(spark, d, "documents").createOrReplaceTempView("documents")
-    return spark.sql(NEXT)
+    return _over(spark, d, NEXT)
 
 
 @query("sim_levenshtein_names", f"SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS score FROM ({NAMES})")
@@ -332,8 +338,7 @@ lower(lang) AS extension, doc_id, coalesce(text, '') AS text FROM documents""".r
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files, with 32-bit fingerprints of a hash that DuckDB has too."""
-    _t(spark, d, "documents").createOrReplaceTempView("documents")
-    f = spark.sql(FILES.format(half="doc_id div 2")).repartition("doc_id")  # a hash of every shingle is much work for a row
+    f = _over(spark, d, FILES.format(half="doc_id div 2")).repartition("doc_id")  # a hash of every shingle is much work for a row
     f = f.withColumn("k", detect(F.encode("text", "UTF-8"), F.col("extension")))
     f = f.select(
         "path", "rel_path", "name", F.col("size").cast("long").alias("size"), F.col("k.file_type").alias("file_type"), "extension",
@@ -504,13 +509,12 @@ n_chars AS n1, n_chars + 3 AS n2, n_chars - 1 AS same, 1 AS o1, 4 AS o2, source
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    _t(spark, d, "documents").createOrReplaceTempView("documents")
     t = F.col("type")
 
     def only(kind: str, c: str):
         return F.when(t == kind, F.col(c))
 
-    return results.conform(spark.sql(_RESULTS).select(
+    return results.conform(_over(spark, d, _RESULTS).select(
         "type", "linked_id", "file1_path", "file2_path", "similarity_score", "identical", only("Text", "n1").alias("file1_line_count"), only("Text", "n2").alias("file2_line_count"),
         only("Text", "same").alias("common_lines"), F.when(t.isin("Text", "Structured"), F.col("o1")).alias("only_in_file1"), F.when(t.isin("Text", "Structured"), F.col("o2")).alias("only_in_file2"),
         only("Structured", "n1").alias("file1_row_count"), only("Structured", "n2").alias("file2_row_count"), only("Structured", "same").alias("common_records"),
