@@ -11,6 +11,7 @@ pair is missed, at any number of documents:
    the table of those k bands: there is one for every choice. ``plan`` takes the least k
    that keeps chance company in a bucket under ``occupancy``, so that the number of
    tables follows the number of fingerprints, and the answer doesn't. No bucket is capped.
+   Tables are spread in waves, a fingerprint taking 17 bytes in each.
 3. Within a bucket every fingerprint has its Hamming distances to ``pivots`` reference
    fingerprints; pairs whose distances differ by more than ``max_distance`` anywhere are
    discarded (triangle inequality, no loss), and the rest are verified on all bits. A
@@ -41,10 +42,11 @@ BITS = 64 * WORDS
 class Params:
     max_distance: int = 20
     pivots: int = 16
-    occupancy: int = 1024
+    occupancy: int = 512
     parts: int = 3
     seed: int = 20240229
     bucket: int = 1 << 18  # rows of an exchange's bucket, a task's share
+    wave: int = 84  # tables that are spread at a time, so that disk doesn't follow their number
 
     def plan(self, n: int) -> int:
         """Equal bands that make a bucket, for ``n`` fingerprints."""
@@ -177,65 +179,79 @@ def group_bucket(fp: np.ndarray, table: np.ndarray, p: Params, small: int = 768,
     return label
 
 
+def node(fp: np.ndarray) -> np.ndarray:
+    """The hash by which components know a fingerprint."""
+    return textops.mix(textops.mix(fp[:, 0]) * np.uint64(textops._BASE) + fp[:, 1]).view(np.int64)
+
+
 def _fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1) of the rows whose text isn't null or blank."""
+    """(doc_id, f0, f1, node) of the rows whose text isn't null or blank."""
 
     def run(it):
         for b in it:
-            f = fingerprints(b.column(1)).view(np.int64)
+            f = fingerprints(b.column(1))
             keep = pa.array((f != 0).any(1))
-            yield pa.record_batch([b.column(0), *[pa.array(f[:, w]) for w in range(WORDS)]], ["doc_id", "f0", "f1"]).filter(keep)
+            cols = [b.column(0), *[pa.array(f[:, w].view(np.int64)) for w in range(WORDS)], pa.array(node(f))]
+            yield pa.record_batch(cols, ["doc_id", "f0", "f1", "node"]).filter(keep)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc_id long, f0 long, f1 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc_id long, f0 long, f1 long, node long")
 
 
-def node(f0, f1):
-    """The hash by which components know a fingerprint."""
-    return F.xxhash64(f0, f1)
+def _keys(fp: np.ndarray, t: int, chosen: np.ndarray) -> np.ndarray:
+    """A hash, of table ``t``, of the bits of each fingerprint that make its bucket."""
+    mask = np.zeros(WORDS, np.uint64)
+    np.bitwise_or.at(mask, chosen >> 6, np.uint64(1) << (chosen & 63).astype(np.uint64))
+    masked = fp & mask
+    return textops.mix(textops.mix(masked[:, 0] + np.uint64(t + 1)) * np.uint64(textops._BASE) + masked[:, 1])
 
 
-def edges(reps: DataFrame, n: int, p: Params = Params()) -> DataFrame:
-    """(a, b): spanning edges between the ``node`` of close fingerprints, for ``n``
-    distinct rows of (node, f0, f1)."""
-    tables = p.tables(n)
-    buckets = max(1, -(-n * len(tables) // p.bucket))
+def edges(reps: DataFrame, n: int, p: Params = Params()) -> list[DataFrame]:
+    """Kept tables (a, b): spanning edges between the ``node`` of close fingerprints, for
+    ``n`` distinct rows of (f0, f1)."""
+    tables, found = p.tables(n), []
+    for first in range(0, len(tables), p.wave):
+        found.append(materialize(_wave(reps, n, dict(list(enumerate(tables))[first : first + p.wave]), p), "pairs"))
+    return found
+
 
-    def keys(fp: np.ndarray):
-        """For each table, a hash of the bits of each fingerprint that make its bucket."""
-        for t, chosen in enumerate(tables):
-            mask = np.zeros((WORDS,), np.uint64)
-            np.bitwise_or.at(mask, chosen >> 6, np.uint64(1) << (chosen & 63).astype(np.uint64))
-            masked = fp & mask
-            yield t, textops.mix(textops.mix(masked[:, 0] + np.uint64(t + 1)) * np.uint64(textops._BASE) + masked[:, 1])
+def _wave(reps: DataFrame, n: int, tables: dict[int, np.ndarray], p: Params) -> DataFrame:
+    buckets = max(1, -(-n * len(tables) // p.bucket))
+    least = min(tables)
 
     def spread(it):
         for b in it:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            fp = np.stack(cols[1:], 1).view(np.uint64)
-            for t, key in keys(fp):
-                o = np.argsort(key)
-                yield pack(bucket_of(key[o], buckets), [key[o], *[c[o] for c in cols]], ["k", "node", "f0", "f1"])
-
-    def verify(t: pa.Table) -> pa.Table:
-        key, *cols = (unpack(t[c], np.int64) for c in ("k", "node", "f0", "f1"))
-        o = np.argsort(key, kind="stable")
-        first = starts(key[o])
-        size = np.diff(np.append(first, len(o)))
-        ids = cols[0][o]
-        fp = np.stack(cols[1:], 1).view(np.uint64)[o]
+            fp = np.stack(cols, 1).view(np.uint64)
+            for t, chosen in tables.items():
+                bucket = bucket_of(_keys(fp, t, chosen), buckets)
+                yield pack(bucket, [np.full(len(fp), t - least, np.uint8 if p.wave < 256 else np.uint32), *cols], ["t", "f0", "f1"])
+
+    def verify(rows: pa.Table) -> pa.Table:
+        t = unpack(rows["t"], np.uint8 if p.wave < 256 else np.uint32)
+        every = np.stack([unpack(rows[c], np.uint64) for c in ("f0", "f1")], 1)
+        by_table = np.argsort(t, kind="stable")
+        cut = np.searchsorted(t[by_table], np.arange(len(tables) + 1))
         a, c = [], []
-        for s, m in zip(first[size > 1], size[size > 1]):
-            f = fp[s : s + m]
-            label = group_bucket(f, pivot_table(f, p), p)
-            x = np.flatnonzero(label != np.arange(m))
-            a.append(ids[s + x])
-            c.append(ids[s + label[x]])
-        z = ids[:0]
+        for k, (number, chosen) in enumerate(sorted(tables.items())):
+            fp = every[by_table[cut[k] : cut[k + 1]]]
+            key = _keys(fp, number, chosen)
+            o = np.lexsort((fp[:, 1], fp[:, 0], key))
+            key, fp = key[o], fp[o]
+            first = starts(key)
+            size = np.diff(np.append(first, len(o)))
+            ids = node(fp)
+            for s, m in zip(first[size > 1], size[size > 1]):
+                f = fp[s : s + m]
+                label = group_bucket(f, pivot_table(f, p), p)
+                x = np.flatnonzero(label != np.arange(m))
+                a.append(ids[s + x])
+                c.append(ids[s + label[x]])
+        z = np.zeros(0, np.int64)
         pair = np.stack([np.concatenate(a or [z]), np.concatenate(c or [z])], 1)
         pair = np.unique(pair, axis=0) if len(pair) else pair
         return pa.table([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    packed = reps.select("node", "f0", "f1").mapInArrow(spread, "bucket int, k binary, node binary, f0 binary, f1 binary")
+    packed = reps.select("f0", "f1").mapInArrow(spread, "bucket int, t binary, f0 binary, f1 binary")
     return packed.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
 
 
@@ -243,15 +259,18 @@ def _losers(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, f0, f1, dup_of) of every document, a doc_id and a fingerprint, that isn't
     the one of its group to stay: the least doc_id, or the least fingerprint where none has an id."""
     fps = materialize(_fingerprint_table(docs).distinct(), "fingerprints")
-    reps = fps.select("f0", "f1").distinct().select(node("f0", "f1").alias("node"), "f0", "f1")
-    found = materialize(edges(reps, reps.count(), p), "pairs")
-    comp = connected_components(found)
-    own = fps.withColumn("node", node("f0", "f1")).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    reps = materialize(fps.select("f0", "f1").distinct(), "representatives")
+    found = edges(reps, reps.count(), p)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionAll(x)
+    comp = connected_components(every)
+    own = fps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("f0"), F.col("f1"))
     best = own.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1").drop("n")
     out = own.join(best, "component").where(order != F.col("best")).select("doc_id", "f0", "f1", F.col("best.doc_id").alias("dup_of"))
     out = materialize(out, "duplicates")
-    for t in (fps, found, comp):
+    for t in (fps, reps, *found, comp):
         discard(t)
     return out
 
