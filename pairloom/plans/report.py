@@ -15,12 +15,16 @@ VERBOSE = {"files": 10, "rows": 15, "diffs": 5, "lines": 12, "tables": 10, "samp
 LINE = 70
 
 
-def format_bytes(n: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if n < 1024:
-            return f"{n:.0f} {unit}" if unit == "B" else f"{n:.1f} {unit}"
+def format_bytes(n: float | None) -> str | None:
+    """In bytes or the largest unit that isn't more; the last is GB, however many they are."""
+    if n is None:
+        return None
+    if n < 1024:
+        return f"{n:.0f} B"
+    for unit in ("KB", "MB", "GB"):
         n /= 1024
-    return f"{n:.1f} TB"
+        if n < 1024 or unit == "GB":
+            return f"{n:.1f} {unit}"
 
 
 def cut_path(path: str, width: int = 40) -> str:
